@@ -39,7 +39,7 @@ def portable(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DecimalType):
-            column = F.round(column.cast("double"), 6)
+            column = column.cast("double") if field.dataType.scale <= 6 else F.round(column.cast("double"), 6)
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             column = F.round(column.cast("double"), 6)
         elif isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType)):

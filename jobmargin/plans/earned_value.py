@@ -1,9 +1,10 @@
 """Weekly earned-value facts per SOV line.
 
-Labor and material are cut off at the project's last billing period, stacked and
-summed by (project, line, week) in one exchange, and meet the billing snapshots of the
-same key in a full outer join that needs no further exchange of its own.  Running
-totals, budget and signatures then work on that small weekly frame, partitioned by line.
+Labor and material are first summed per line and day, map-side, so that raw entries and
+very large projects lose their weight before anything is brought together by project.
+These daily rows, the weekly billing snapshots and each project's last billing period are
+then stacked and shuffled once, by project: the cutoff is a window over the stack instead
+of a join, and the weekly sums and all running totals reuse that one partitioning.
 """
 
 from __future__ import annotations
@@ -35,18 +36,13 @@ def last_period_end(tables: Tables) -> DataFrame:
     return tables["billing_history"].groupBy("project_id").agg(F.max("period_end").alias("last_period_end"))
 
 
-def _until_closeout(tables: Tables, rows: DataFrame) -> DataFrame:
-    # The right side is one row per project: broadcast while small, otherwise AQE
-    # splits the partitions of very large projects.
-    return rows.join(last_period_end(tables), "project_id").where(F.col("date") <= F.col("last_period_end"))
-
-
 def closeout_cutoff(tables: Tables, name: str) -> DataFrame:
     """Rows of labor_logs or material_deliveries up to the project's last billing period.
 
     A project without billing loses all its rows.
     """
-    return _until_closeout(tables, tables[name])
+    rows = tables[name].join(last_period_end(tables), "project_id")
+    return rows.where(F.col("date") <= F.col("last_period_end"))
 
 
 def _labor_entries(tables: Tables) -> DataFrame:
@@ -69,29 +65,49 @@ def _material_entries(tables: Tables) -> DataFrame:
     )
 
 
-def _spend_until_closeout(tables: Tables) -> DataFrame:
-    entries = ledger.stack([_labor_entries(tables), _material_entries(tables)])
-    return _until_closeout(tables, entries)
+def _daily(entries: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return entries.groupBy(*LINE, "date").agg(*[F.sum(c).alias(c) for c in columns]).withColumn(
+        "week_end", F.lit(None).cast("date")
+    )
+
+
+def _until_closeout(tables: Tables, *frames: DataFrame) -> DataFrame:
+    """Daily rows up to their project's last billing period, and weekly rows as they are.
+
+    The project's last period travels as a row without a date, which sorts first, so a
+    running maximum carries it to the project's dated rows.  A project has at most
+    (lines x days) of these, however many entries are behind them.
+    """
+    stacked = ledger.stack([*frames, last_period_end(tables)])
+    by_date = (
+        Window.partitionBy("project_id").orderBy(F.col("date").asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    dated = stacked.withColumn("last_period_end", F.max("last_period_end").over(by_date))
+    kept = dated.where(F.col("week_end").isNotNull() | (F.col("date") <= F.col("last_period_end")))
+    return kept.withColumn("week_end", F.coalesce("week_end", week_end_sunday("date")))
 
 
-def _weekly_sums(entries: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    week = week_end_sunday("date").alias("week_end")
-    return entries.groupBy(*LINE, week).agg(*[F.sum(c).alias(c) for c in columns])
+def _weekly_sums(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return rows.groupBy(*LINE_WEEK).agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def labor_week(tables: Tables) -> DataFrame:
     """Weekly hours and cost per line, after the cutoff."""
-    return _weekly_sums(_until_closeout(tables, _labor_entries(tables)), LABOR_WEEKLY)
+    daily = _daily(_labor_entries(tables), LABOR_WEEKLY)
+    return _weekly_sums(_until_closeout(tables, daily), LABOR_WEEKLY)
 
 
 def labor_week_uncut(tables: Tables) -> DataFrame:
     """Weekly labor per line without the cutoff, as a stream accumulates it."""
-    return _weekly_sums(_labor_entries(tables), LABOR_WEEKLY)
+    entries = _labor_entries(tables).withColumn("week_end", week_end_sunday("date"))
+    return _weekly_sums(entries, LABOR_WEEKLY)
 
 
 def material_week(tables: Tables) -> DataFrame:
     """Weekly material cost and quantity per line, after the cutoff."""
-    return _weekly_sums(_until_closeout(tables, _material_entries(tables)), MATERIAL_WEEKLY)
+    daily = _daily(_material_entries(tables), MATERIAL_WEEKLY)
+    return _weekly_sums(_until_closeout(tables, daily), MATERIAL_WEEKLY)
 
 
 def billing_week(tables: Tables) -> DataFrame:
@@ -118,16 +134,25 @@ def billing_week(tables: Tables) -> DataFrame:
     )
 
 
+def _active_weeks(tables: Tables) -> DataFrame:
+    entries = ledger.stack([_labor_entries(tables), _material_entries(tables)])
+    return _until_closeout(tables, _daily(entries, WEEKLY), billing_week(tables))
+
+
 def week_spine(tables: Tables) -> DataFrame:
     """The (project, line, week) keys with any labor, material or billing."""
-    spent = _spend_until_closeout(tables).select(*LINE, week_end_sunday("date").alias("week_end"))
-    return spent.union(billing_week(tables).select(*LINE_WEEK)).distinct()
+    return _active_weeks(tables).select(*LINE_WEEK).distinct()
 
 
 def fact_line_week(tables: Tables) -> DataFrame:
-    """One row per active line and week; measures without activity are 0, text is empty."""
-    spend = _weekly_sums(_spend_until_closeout(tables), WEEKLY)
-    fact = spend.join(billing_week(tables), LINE_WEEK, "full_outer")
+    """One row per active line and week; measures without activity are 0, text is empty.
+
+    A key has at most one billing snapshot, so the maximum just picks its values.
+    """
+    snapshot = ("pct_complete", "total_billed", "scheduled_value", "description")
+    fact = _active_weeks(tables).groupBy(*LINE_WEEK).agg(
+        *[F.sum(c).alias(c) for c in WEEKLY], *[F.max(c).alias(c) for c in snapshot]
+    )
     pct = F.greatest(F.lit(0), F.least(F.lit(100), m.zero_if_null("pct_complete")))
     return fact.select(
         *LINE_WEEK,

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobmargin.sources.junction import co_sov_lines
 
@@ -48,20 +49,42 @@ def _map(values: dict[str, str], column: str) -> Column:
     return expr
 
 
-def _cents(column: str) -> Column:
+def _money(column: str) -> Column:
     return F.col(column).cast("decimal(12,2)")
 
 
+def _cents(column: str) -> Column:
+    """Whole cents of a price held as double; exact, and much cheaper to sum than decimals."""
+    return F.round(F.col(column) * 100).cast("bigint")
+
+
+def _dollars(cents: Column) -> Column:
+    return (cents.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(22,2)")
+
+
+def _hundredths(number: Column) -> Column:
+    """An integer count of hundredths as decimal(4,2)."""
+    return (number.cast("decimal(4,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(4,2)")
+
+
 def project_key(number: Column) -> Column:
-    """PRJ- and the number, zero-filled to six digits and never cut."""
+    """PRJ- and the number, zero-filled to six digits and never cut.
+
+    The key is never NULL, which spares a not-null check of the built text per row.
+    """
     digits = number.cast("string")
-    return F.concat(F.lit("PRJ-"), F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0")))
+    filled = F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0"))
+    return F.concat(F.lit("PRJ-"), F.coalesce(filled, F.lit("unknown")))
 
 
 def line_key(project_number: Column, line_number: Column) -> Column:
     return F.concat(project_key(project_number), F.lit("-SOV-0"), line_number.cast("string"))
 
 
+# Schemas already read from a file's footer, by path.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class BridgeTables(dict):
     """The twelve tables, each built on first use."""
 
@@ -78,7 +101,13 @@ class BridgeTables(dict):
 
     def source(self, name: str) -> DataFrame:
         if name not in self._sources:
-            self._sources[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            path = f"{self.folder}/{name}.parquet"
+            reader = self.spark.read
+            if path in _SCHEMAS:
+                reader = reader.schema(_SCHEMAS[path])
+            frame = reader.parquet(path)
+            _SCHEMAS[path] = frame.schema
+            self._sources[name] = frame
         return self._sources[name]
 
     def project_of(self, number: str) -> Column:
@@ -92,18 +121,23 @@ def bridge(spark: SparkSession, folder: str) -> BridgeTables:
 
 
 def _line_totals(t: BridgeTables) -> DataFrame:
-    worked = F.col("l_returnflag").isin("A", "N")
-    return t.source("lineitem").groupBy("l_suppkey", "l_linenumber").agg(
-        F.sum(_cents("l_extendedprice")).alias("value"),
-        F.sum(F.when(worked, F.col("l_quantity").cast("bigint")).otherwise(F.lit(0))).alias("hours"),
-        F.sum(F.when(F.col("l_returnflag") == "R", _cents("l_extendedprice")).otherwise(F.lit(0)))
-        .alias("material"),
+    worked, returned = F.col("l_returnflag").isin("A", "N"), F.col("l_returnflag") == "R"
+    price = _cents("l_extendedprice")
+    return (
+        t.source("lineitem")
+        .groupBy("l_suppkey", "l_linenumber")
+        .agg(
+            F.sum(price).alias("value"),
+            F.sum(F.when(worked, F.col("l_quantity").cast("bigint")).otherwise(F.lit(0))).alias("hours"),
+            F.sum(F.when(returned, price).otherwise(F.lit(0))).alias("material"),
+        )
+        .withColumns({"value": _dollars(F.col("value")), "material": _dollars(F.col("material"))})
     )
 
 
 def _contracts(t: BridgeTables) -> DataFrame:
     totals = t.source("lineitem").groupBy("l_suppkey").agg(
-        F.sum(_cents("l_extendedprice")).alias("value"),
+        _dollars(F.sum(_cents("l_extendedprice"))).alias("value"),
         F.max(F.col("l_shipdate").cast("date")).alias("completion"),
     )
     # The nation table has a fixed 25 rows, whatever the scale.
@@ -162,15 +196,15 @@ def _sov_budget(t: BridgeTables) -> DataFrame:
 def _entry_number() -> Column:
     return F.concat_ws(
         "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        F.date_format(F.col("l_shipdate").cast("date"), "yyyyMMdd"),
+        F.unix_date(F.col("l_shipdate").cast("date")),
     )
 
 
 def labor_from_lineitem(items: DataFrame) -> DataFrame:
     """Labor entries from line items, batch or stream."""
     supplier, line = F.col("l_suppkey"), F.col("l_linenumber")
-    cap = F.when((supplier + line) % 9 == 0, F.lit(30.0)).otherwise(F.lit(40.0))
-    quantity = F.col("l_quantity")
+    cap = F.when((supplier + line) % 9 == 0, F.lit(30)).otherwise(F.lit(40))
+    quantity = F.col("l_quantity").cast("int")
     return items.where(F.col("l_returnflag").isin("A", "N")).select(
         F.concat(F.when(quantity >= 48, "OVR-").otherwise("LOG-"), _entry_number()).alias("log_id"),
         project_key(supplier).alias("project_id"),
@@ -179,9 +213,9 @@ def labor_from_lineitem(items: DataFrame) -> DataFrame:
         F.when(line % 2 == 0, "Pipefitter").otherwise("Sheet Metal Worker").alias("role"),
         line_key(supplier, line).alias("sov_line_id"),
         F.least(quantity, cap).cast("decimal(4,1)").alias("hours_st"),
-        F.greatest(quantity - cap, F.lit(0.0)).cast("decimal(4,1)").alias("hours_ot"),
+        F.greatest(quantity - cap, F.lit(0)).cast("decimal(4,1)").alias("hours_ot"),
         (F.lit(25) + 5 * line).cast("decimal(6,2)").alias("hourly_rate"),
-        (F.lit("1.35").cast("decimal(3,2)") + F.col("l_tax").cast("decimal(3,2)")).alias("burden_multiplier"),
+        _hundredths(F.round(F.col("l_tax") * 100).cast("int") + 135).alias("burden_multiplier"),
         F.concat(F.lit("Zone "), F.col("l_linestatus")).alias("work_area"),
         line.alias("cost_code"),
     )
@@ -193,7 +227,8 @@ def _labor_logs(t: BridgeTables) -> DataFrame:
 
 def _material_deliveries(t: BridgeTables) -> DataFrame:
     supplier, line = F.col("l_suppkey"), F.col("l_linenumber")
-    cost = (_cents("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(12,2)")
+    kept = _hundredths(100 - F.round(F.col("l_discount") * 100).cast("int"))
+    cost = (_money("l_extendedprice") * kept).cast("decimal(12,2)")
     return t.source("lineitem").where(F.col("l_returnflag") == "R").select(
         F.concat(F.lit("DEL-"), _entry_number()).alias("delivery_id"),
         project_key(supplier).alias("project_id"),
@@ -224,7 +259,11 @@ def _billing_line_items(t: BridgeTables) -> DataFrame:
     monthly = (
         items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("l_suppkey", "l_linenumber", "month")
-        .agg(F.sum(_cents("l_extendedprice")).alias("value"))
+        .agg(F.sum(_cents("l_extendedprice")).alias("cents"))
+        # A month counts where something was billed.  As every use of the table keeps the
+        # sum for this test, their exchanges are equal and Spark runs the join once.
+        .where(F.col("cents").isNotNull())
+        .withColumn("value", _dollars(F.col("cents")))
         .withColumn("this_period", (F.col("value") * factor).cast("decimal(24,2)"))
     )
     # Both windows run on rows already reduced to one per line and month.
@@ -279,7 +318,7 @@ def _billing_history(t: BridgeTables) -> DataFrame:
 def _change_orders(t: BridgeTables) -> DataFrame:
     key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
     project = t.project_of("o_custkey")
-    amount = (_cents("o_totalprice") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(12,2)")
+    amount = (_money("o_totalprice") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(12,2)")
     lines = F.concat(
         F.lit("['"), F.col("project_id"), F.lit("-SOV-0"), (key % 7 + 1).cast("string"),
         F.lit("', '"), F.col("project_id"), F.lit("-SOV-0"), ((key + 3) % 7 + 1).cast("string"), F.lit("']"),
