@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jobmargin.functions import measures as m
 from jobmargin.operators.portfolio import for_project
 from jobmargin.plans import ledger
+from jobmargin.session import materialise
 
 Tables = Mapping[str, DataFrame]
 
@@ -75,12 +76,13 @@ def margin_rank(tables: Tables) -> DataFrame:
     The rank of a project is one plus the number of projects with a lower delta.
     Ranking in one window would sort the whole portfolio in a single task.  Instead
     distinct deltas are counted, put into a bounded number of ordered buckets and
-    ranked inside each; only the bucket totals are summed up in one task.
+    ranked inside each; only the bucket totals are summed up in one task.  The margins,
+    one row per project, are written once because the ranking reads them three times.
     """
     ranked_on = F.round("margin_delta", 6)
-    margins = _project_margins(tables).select(
+    margins = materialise(_project_margins(tables).select(
         "project_id", "project_name", "bid_margin", "realized_margin", ranked_on.alias("margin_delta")
-    )
+    ), "project-margins")
     per_delta = margins.groupBy("margin_delta").agg(F.count(F.lit(1)).alias("projects"))
     # The step is monotone, so lower buckets hold only lower deltas; the outermost two
     # take everything beyond +-RANK_SPAN, which bounds the bucket count.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobmargin.functions import measures as m
@@ -72,19 +72,20 @@ def pending_co_totals(tables: Tables) -> DataFrame:
 
 def project_pct_complete(tables: Tables) -> DataFrame:
     """Plain average completion of the lines on each project's latest application."""
-    return (
-        ledger.latest_billing_lines(tables)
-        .groupBy("project_id")
-        .agg(F.avg(m.dbl("pct_complete")).alias("pct_complete"))
-    )
+    rows = ledger.project_ledger(tables, ["completion"])
+    return rows.select("project_id", _pct_complete().alias("pct_complete"))
+
+
+def _pct_complete() -> Column:
+    return F.when(F.col("pct_lines") > 0, m.dbl("pct_sum") / F.col("pct_lines"))
 
 
 def project_summaries(tables: Tables) -> DataFrame:
     """The project table: costs, margins, completion and counts per contract."""
     rows = ledger.with_contract(
-        tables, ledger.project_ledger(tables, LEDGER_PARTS),
+        tables, ledger.project_ledger(tables, [*LEDGER_PARTS, "completion"]),
         "project_name", "original_contract_value", "gc_name", "substantial_completion_date",
-    ).join(project_pct_complete(tables), "project_id", "left")
+    )
     value = F.col("original_contract_value")
     bid, billed = m.zero_if_null("bid_cost"), m.zero_if_null("total_billed")
     return rows.select(
@@ -99,7 +100,7 @@ def project_summaries(tables: Tables) -> DataFrame:
         m.dbl(m.zero_if_null("actual_labor_cost")).alias("actual_labor_cost"),
         m.dbl(m.zero_if_null("actual_material_cost")).alias("actual_material_cost"),
         m.share_if_positive(billed - m.actual_cost(), billed).alias("realized_margin_pct"),
-        F.coalesce("pct_complete", F.lit(0.0)).alias("pct_complete"),
+        F.coalesce(_pct_complete(), F.lit(0.0)).alias("pct_complete"),
         m.zero_if_null("approved_count").cast("bigint").alias("approved_cos"),
         m.zero_if_null("pending_count").cast("bigint").alias("pending_cos"),
         m.zero_if_null("scope_count").cast("bigint").alias("scope_creep_count"),

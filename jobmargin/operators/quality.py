@@ -16,6 +16,8 @@ from jobmargin.sources.schemas import DOMAINS, REFERENCES, TABLES, Reference
 
 Tables = Mapping[str, DataFrame]
 
+LABELS = ("child_table", "columns", "parent_table")
+
 
 def _union(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -38,25 +40,32 @@ def dq_foreign_key(tables: Tables, references: Iterable[Reference] = REFERENCES)
     """Per reference: key values without a parent and the rows holding them.
 
     Child keys are counted before the anti join, so a key that fills a third of the
-    table is one row there.  A key with a NULL part refers to nothing.
+    table is one row there.  References to the same parent key share one anti join.
+    A key with a NULL part refers to nothing.
     """
-    def report(ref: Reference) -> DataFrame:
-        keys = tables[ref.child].select(*ref.columns).dropna()
-        counted = keys.groupBy(*ref.columns).agg(F.count(F.lit(1)).alias("n"))
-        parents = tables[ref.parent].select(
-            *[F.col(p).alias(c) for p, c in zip(ref.parent_columns, ref.columns)]
-        )
-        orphans = counted.join(parents, list(ref.columns), "left_anti")
-        return orphans.agg(
-            F.count(F.lit(1)).alias("orphan_keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows")
-        ).select(
-            F.lit(ref.child).alias("child_table"),
-            F.lit(",".join(ref.columns)).alias("columns"),
-            F.lit(ref.parent).alias("parent_table"),
-            "orphan_keys", "orphan_rows",
-        )
+    references = list(references)
 
-    return _union(map(report, references))
+    def label(ref: Reference):
+        return [F.lit(ref.child).alias("child_table"), F.lit(",".join(ref.columns)).alias("columns"),
+                F.lit(ref.parent).alias("parent_table")]
+
+    def orphans(parent: str, parent_columns: tuple[str, ...]) -> DataFrame:
+        keys = [f"key_{k}" for k in range(len(parent_columns))]
+        children = _union(
+            tables[ref.child].select(*label(ref), *[F.col(c).alias(k) for c, k in zip(ref.columns, keys)])
+            for ref in references if (ref.parent, ref.parent_columns) == (parent, parent_columns)
+        )
+        counted = children.dropna(subset=keys).groupBy(*LABELS, *keys).agg(F.count(F.lit(1)).alias("n"))
+        parents = tables[parent].select(*[F.col(c).alias(k) for c, k in zip(parent_columns, keys)])
+        return counted.join(parents, keys, "left_anti").select(*LABELS, F.lit(1).alias("keys"), "n")
+
+    # One row per reference, also for those without orphans.
+    spark = tables[references[0].child].sparkSession
+    none = spark.range(1).select(F.inline(F.array(*[F.struct(*label(ref)) for ref in references]))).select(
+        *LABELS, F.lit(0).alias("keys"), F.lit(0).cast("bigint").alias("n"))
+    targets = dict.fromkeys((ref.parent, ref.parent_columns) for ref in references)
+    found = _union([none, *[orphans(*target) for target in targets]])
+    return found.groupBy(*LABELS).agg(F.sum("keys").alias("orphan_keys"), F.sum("n").alias("orphan_rows"))
 
 
 def dq_domain(tables: Tables) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Mapping
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobmargin.functions import measures as m
@@ -51,6 +51,19 @@ def _billed(tables: Tables) -> DataFrame:
     return tables["billing_history"].select("project_id", "application_number", "cumulative_billed")
 
 
+def _completion(tables: Tables) -> DataFrame:
+    # Summed per application, so the latest one can be picked without a self-join.
+    return tables["billing_line_items"].groupBy("project_id", "application_number").agg(
+        F.sum("pct_complete").alias("pct_sum"), F.count("pct_complete").alias("pct_lines")
+    ).withColumnRenamed("application_number", "pct_application")
+
+
+def _line_billing(tables: Tables) -> DataFrame:
+    return tables["billing_line_items"].select(
+        "project_id", "sov_line_id", "application_number", "total_billed"
+    )
+
+
 def _change_orders(tables: Tables) -> DataFrame:
     return tables["change_orders"].select(
         "project_id",
@@ -98,6 +111,8 @@ PARTS: dict[str, tuple[Callable[..., DataFrame], Callable[[], list[Column]]]] =
     "material": (_material, lambda: _sums("actual_material_cost")),
     "billed": (_billed, lambda: [
         F.max_by("cumulative_billed", "application_number").alias("total_billed")]),
+    "completion": (_completion, lambda: [
+        F.max_by(c, "pct_application").alias(c) for c in ("pct_sum", "pct_lines")]),
     "change_orders": (_change_orders, _co_status_aggregates),
     "scope": (_scope, lambda: [
         F.count("scope_rows").alias("scope_count"),
@@ -150,15 +165,27 @@ def latest_billing_lines(tables: Tables) -> DataFrame:
 
 
 def line_ledger(tables: Tables, parts: Iterable[str]) -> DataFrame:
-    """One row per (project, SOV line): labor, material and latest billed amounts."""
-    parts = list(parts)
+    """One row per (project, SOV line): labor, material and amounts of the latest application.
+
+    A line's own last application only counts if it is the project's; that is checked on
+    the line totals, a few rows per project, instead of joining the billing lines to their
+    maximum.
+    """
     frames, aggregates = [], []
     for part in parts:
         if part == "billed":
-            frames.append(latest_billing_lines(tables).select(
-                "project_id", "sov_line_id", F.col("total_billed")))
-            aggregates += _sums("total_billed")
+            frames.append(_line_billing(tables))
+            aggregates += [
+                F.max("application_number").alias("line_application"),
+                F.max_by("total_billed", "application_number").alias("total_billed"),
+            ]
         else:
             frames.append(PARTS[part][0](tables))
             aggregates += PARTS[part][1]()
-    return stack(frames).groupBy("project_id", "sov_line_id").agg(*aggregates)
+    lines = stack(frames).groupBy("project_id", "sov_line_id").agg(*aggregates)
+    if "line_application" not in lines.columns:
+        return lines
+    latest = F.max("line_application").over(Window.partitionBy("project_id"))
+    return lines.withColumn("latest_application", latest).withColumn(
+        "total_billed", F.when(F.col("line_application") == F.col("latest_application"), F.col("total_billed"))
+    ).drop("line_application", "latest_application")
