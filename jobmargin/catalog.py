@@ -252,7 +252,7 @@ QUERIES: dict[str, Query] = {
     # selection
     "latest_billing": over_tables(latest.latest_billing),
     "latest_billing_one": over_tables(latest.latest_billing_one, project_id=PROJECT),
-    "latest_billing_lines": over_tables(lambda t: ledger.latest_billing_lines(t).drop("period_end")),
+    "latest_billing_lines": over_tables(ledger.latest_billing_lines),
     "project_filter": over_tables(portfolio.project_filter, project_id=PROJECT),
     "field_notes_search": over_tables(notes.field_notes_search, search=SEARCH, note_type=NOTE_TYPE),
     "field_notes_recent": over_tables(notes.field_notes_recent),

@@ -14,25 +14,29 @@ from jobmargin.plans.latest import latest_billing
 
 Tables = Mapping[str, DataFrame]
 
-LEDGER_PARTS = ("budget", "labor", "material", "billed", "change_orders", "scope")
+COST_PARTS = ("budget", "labor", "material", "billed")
+SUMMARY_PARTS = (*COST_PARTS, "change_orders", "scope", "completion")
 NAME_LIMIT = 15
 
 
 def portfolio_overview(tables: Tables) -> DataFrame:
     """One row of portfolio totals, margins, unsubmitted scope and pending change orders.
 
-    All inputs meet in a single global aggregate, after the project ledger has found
-    each project's latest billed amount.
+    All inputs meet in a single global aggregate, combined map-side.  Only billing is
+    grouped by project before, to find each project's latest amount.
     """
-    measures = ("bid_cost", "total_billed", "actual_labor_cost", "actual_material_cost",
-                "unsubmitted_cost", "pending_count", "pending_amount")
-    projects = ledger.project_ledger(tables, LEDGER_PARTS).select(*measures)
+    parts = ("budget", "labor", "material", "change_orders", "scope")
     contracts = tables["contracts"].select(F.lit(1).alias("contract_rows"), "original_contract_value")
-    totals = ledger.stack([contracts, projects]).agg(
+    billed = ledger.project_ledger(tables, ["billed"]).select("total_billed")
+    totals = ledger.stack([contracts, billed, *ledger.part_rows(tables, parts)]).agg(
         F.count("contract_rows").alias("project_count"),
-        m.zero_if_null(F.sum("original_contract_value")).alias("value"),
-        *[m.zero_if_null(F.sum(c)).alias(c) for c in measures],
+        F.sum("original_contract_value").alias("value"),
+        F.sum("total_billed").alias("total_billed"),
+        *ledger.part_aggregates(parts),
     )
+    measures = ("value", "bid_cost", "total_billed", "actual_labor_cost", "actual_material_cost",
+                "unsubmitted_cost", "pending_amount")
+    totals = totals.withColumns({c: m.zero_if_null(c) for c in measures})
     value, billed, cost = F.col("value"), F.col("total_billed"), m.actual_cost()
     return totals.select(
         m.dbl("value").alias("total_contract_value"),
@@ -80,10 +84,20 @@ def _pct_complete() -> Column:
     return F.when(F.col("pct_lines") > 0, m.dbl("pct_sum") / F.col("pct_lines"))
 
 
+def _bid_margin_pct() -> Column:
+    value = F.col("original_contract_value")
+    return m.share_if_positive(value - m.zero_if_null("bid_cost"), value).alias("bid_margin_pct")
+
+
+def _realized_margin_pct() -> Column:
+    billed = m.zero_if_null("total_billed")
+    return m.share_if_positive(billed - m.actual_cost(), billed).alias("realized_margin_pct")
+
+
 def project_summaries(tables: Tables) -> DataFrame:
     """The project table: costs, margins, completion and counts per contract."""
     rows = ledger.with_contract(
-        tables, ledger.project_ledger(tables, [*LEDGER_PARTS, "completion"]),
+        tables, ledger.project_ledger(tables, SUMMARY_PARTS),
         "project_name", "original_contract_value", "gc_name", "substantial_completion_date",
     )
     value = F.col("original_contract_value")
@@ -95,11 +109,11 @@ def project_summaries(tables: Tables) -> DataFrame:
         "gc_name",
         "substantial_completion_date",
         m.dbl(bid).alias("bid_cost"),
-        m.share_if_positive(value - bid, value).alias("bid_margin_pct"),
+        _bid_margin_pct(),
         m.dbl(billed).alias("total_billed"),
         m.dbl(m.zero_if_null("actual_labor_cost")).alias("actual_labor_cost"),
         m.dbl(m.zero_if_null("actual_material_cost")).alias("actual_material_cost"),
-        m.share_if_positive(billed - m.actual_cost(), billed).alias("realized_margin_pct"),
+        _realized_margin_pct(),
         F.coalesce(_pct_complete(), F.lit(0.0)).alias("pct_complete"),
         m.zero_if_null("approved_count").cast("bigint").alias("approved_cos"),
         m.zero_if_null("pending_count").cast("bigint").alias("pending_cos"),
@@ -213,9 +227,17 @@ def project_details_lines(tables: Tables, project_id: str | None = None) -> Data
     ).orderBy("project_id", "line_number", "sov_line_id")
 
 
+def _summary_margins(tables: Tables) -> DataFrame:
+    """The margins of the project table, from cost and billing alone."""
+    rows = ledger.with_contract(
+        tables, ledger.project_ledger(tables, COST_PARTS), "project_name", "original_contract_value"
+    )
+    return rows.select("project_id", "project_name", _bid_margin_pct(), _realized_margin_pct())
+
+
 def margin_bands(tables: Tables) -> DataFrame:
     """Traffic-light band of each project's bid and realized margin."""
-    return project_summaries(tables).select(
+    return _summary_margins(tables).select(
         "project_id",
         m.margin_band("bid_margin_pct").alias("bid_band"),
         m.margin_band("realized_margin_pct").alias("realized_band"),
@@ -224,7 +246,7 @@ def margin_bands(tables: Tables) -> DataFrame:
 
 def margin_chart_data(tables: Tables) -> DataFrame:
     """Shortened project name with both margins in percent, one decimal."""
-    return project_summaries(tables).select(
+    return _summary_margins(tables).select(
         "project_id",
         shortened("project_name", NAME_LIMIT).alias("name"),
         F.round(F.col("bid_margin_pct") * 100, 1).alias("bid_margin"),

@@ -128,15 +128,21 @@ def stack(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def part_rows(tables: Tables, parts: Iterable[str]) -> list[DataFrame]:
+    return [PARTS[p][0](tables) for p in parts]
+
+
+def part_aggregates(parts: Iterable[str]) -> list[Column]:
+    return [aggregate for p in parts for aggregate in PARTS[p][1]()]
+
+
 def project_ledger(tables: Tables, parts: Iterable[str], project_id: str | None = None) -> DataFrame:
     """One row per project with the measures of the named parts; NULL where a part has no row."""
     parts = list(parts)
-    frames = [PARTS[p][0](tables).drop("sov_line_id") for p in parts]
-    stacked = stack(frames)
+    stacked = stack(rows.drop("sov_line_id") for rows in part_rows(tables, parts))
     if project_id is not None:
         stacked = stacked.where(F.col("project_id") == project_id)
-    aggregates = [a for p in parts for a in PARTS[p][1]()]
-    return stacked.groupBy("project_id").agg(*aggregates)
+    return stacked.groupBy("project_id").agg(*part_aggregates(parts))
 
 
 def with_contract(tables: Tables, ledger: DataFrame, *columns: str) -> DataFrame:

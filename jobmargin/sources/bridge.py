@@ -247,35 +247,43 @@ def _material_deliveries(t: BridgeTables) -> DataFrame:
     )
 
 
-def _billing_line_items(t: BridgeTables) -> DataFrame:
+def _monthly_billing(t: BridgeTables) -> DataFrame:
+    """Amounts billed per supplier, line and month, with the application number of the month."""
     items = t.source("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     orders = t.source("orders").select(
         "o_orderkey", F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("month"))
-    supplier, line = F.col("l_suppkey"), F.col("l_linenumber")
+    supplier = F.col("l_suppkey")
     factor = (
         F.when(supplier % 5 == 0, F.lit("0.25")).when(supplier % 5 == 1, F.lit("0.28"))
         .otherwise(F.lit("1.00")).cast("decimal(3,2)")
     )
-    monthly = (
+    value = _dollars(F.col("cents"))
+    return (
         items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("l_suppkey", "l_linenumber", "month")
         .agg(F.sum(_cents("l_extendedprice")).alias("cents"))
         # A month counts where something was billed.  As every use of the table keeps the
         # sum for this test, their exchanges are equal and Spark runs the join once.
         .where(F.col("cents").isNotNull())
-        .withColumn("value", _dollars(F.col("cents")))
-        .withColumn("this_period", (F.col("value") * factor).cast("decimal(24,2)"))
+        .select(
+            "l_suppkey", "l_linenumber", "month", value.alias("value"),
+            (value * factor).cast("decimal(24,2)").alias("this_period"),
+            F.dense_rank().over(Window.partitionBy("l_suppkey").orderBy("month")).alias("application_number"),
+        )
     )
-    # Both windows run on rows already reduced to one per line and month.
+
+
+def _billing_line_items(t: BridgeTables) -> DataFrame:
+    supplier, line = F.col("l_suppkey"), F.col("l_linenumber")
     by_line = Window.partitionBy("l_suppkey", "l_linenumber")
     running = by_line.orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total, scheduled = F.col("total_billed"), F.col("scheduled_value")
     return (
-        monthly
-        .withColumn("application_number",
-                    F.dense_rank().over(Window.partitionBy("l_suppkey").orderBy("month")))
-        .withColumn("total_billed", F.sum("this_period").over(running))
-        .withColumn("scheduled_value", F.sum("value").over(by_line))
+        _monthly_billing(t)
+        .withColumns({
+            "total_billed": F.sum("this_period").over(running),
+            "scheduled_value": F.sum("value").over(by_line),
+        })
         .select(
             line_key(supplier, line).alias("sov_line_id"),
             project_key(supplier).alias("project_id"),
@@ -287,29 +295,30 @@ def _billing_line_items(t: BridgeTables) -> DataFrame:
             total,
             (total.cast("double") * 100 / scheduled.cast("double")).cast("decimal(5,2)").alias("pct_complete"),
             (scheduled - total).alias("balance_to_finish"),
-            F.last_day("month").alias("period_end"),
         )
     )
 
 
 def _billing_history(t: BridgeTables) -> DataFrame:
-    per_application = _billing_line_items(t).groupBy("project_id", "application_number", "period_end").agg(
+    # Grouped and summed by supplier number, which the application numbers are partitioned by.
+    per_application = _monthly_billing(t).groupBy("l_suppkey", "application_number", "month").agg(
         F.sum("this_period").alias("period_total"), F.count(F.lit(1)).alias("line_item_count")
     )
     running = (
-        Window.partitionBy("project_id").orderBy("application_number")
+        Window.partitionBy("l_suppkey").orderBy("application_number")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    billed = F.col("cumulative_billed")
+    period_end, billed = F.last_day("month"), F.col("cumulative_billed")
     retention = (billed * F.lit("0.10").cast("decimal(2,2)")).cast("decimal(30,2)")
     return (
         per_application.withColumn("cumulative_billed", F.sum("period_total").over(running))
         .select(
-            "project_id", "application_number", "period_end", "period_total", "cumulative_billed",
+            project_key(F.col("l_suppkey")).alias("project_id"),
+            "application_number", period_end.alias("period_end"), "period_total", "cumulative_billed",
             retention.alias("retention_held"),
             (billed - retention).alias("net_payment_due"),
             _pick(BILLING_STATUSES, F.col("application_number") % 3).alias("status"),
-            F.date_add("period_end", 40).alias("payment_date"),
+            F.date_add(period_end, 40).alias("payment_date"),
             "line_item_count",
         )
     )
