@@ -1,4 +1,4 @@
-"""Exact medians for groups of any size."""
+"""Exact medians for a few groups of any size."""
 
 from __future__ import annotations
 
@@ -17,6 +17,9 @@ def median_of_large_groups(df: DataFrame, group: str, value: str, output: str) -
     some twenty times wider than the sketch's rank error); then values below the
     bracket are only counted, and only the few distinct values inside it are ordered.
     Raises if a bracket missed the middle, so the result is exact or an error.
+
+    The groups must be a short fixed list of labels: one bracket row per group is
+    broadcast, so that rows are not shuffled to their group's task.
     """
     present = df.select(group, value).where(F.col(value).isNotNull())
     brackets = (
@@ -31,7 +34,7 @@ def median_of_large_groups(df: DataFrame, group: str, value: str, output: str) -
         )
     )
     counted = (
-        present.join(brackets, present[group].eqNullSafe(brackets["bracket_group"]))
+        present.join(F.broadcast(brackets), present[group].eqNullSafe(brackets["bracket_group"]))
         .where(F.col(value) <= F.col("high"))
         # Everything under the bracket collapses to one NULL-valued row per group.
         .groupBy(group, "n", F.when(F.col(value) >= F.col("low"), F.col(value)).alias("candidate"))

@@ -13,6 +13,7 @@ from jobmargin.operators.portfolio import for_project
 Tables = Mapping[str, DataFrame]
 
 RECENT_LIMIT = 100
+BROADCAST_LIMIT = 100_000
 
 
 def _with_project_name(tables: Tables, notes: DataFrame) -> DataFrame:
@@ -36,8 +37,21 @@ def field_notes_search(tables: Tables, project_id: str | None = None, search: st
 
 
 def field_notes_recent(tables: Tables, limit: int = RECENT_LIMIT) -> DataFrame:
-    """The newest notes of known projects: a distributed top-k, ties by note_id."""
-    return _with_project_name(tables, tables["field_notes"]).orderBy(F.desc("date"), "note_id").limit(limit)
+    """The newest notes of known projects: a distributed top-k, ties by note_id.
+
+    The top-k runs on keys and dates; texts are only read for the chosen notes, whose
+    number is the limit, and are never shuffled to be sorted out.
+    """
+    keys = tables["field_notes"].select("note_id", "project_id", "date")
+    chosen = (
+        _with_project_name(tables, keys)
+        .orderBy(F.desc("date"), "note_id")
+        .limit(limit)
+        .select("note_id", "project_name")
+    )
+    if limit <= BROADCAST_LIMIT:
+        chosen = F.broadcast(chosen)
+    return tables["field_notes"].join(chosen, "note_id").orderBy(F.desc("date"), "note_id")
 
 
 def field_note_tokens(tables: Tables) -> DataFrame:

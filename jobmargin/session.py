@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,8 @@ DEFAULTS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+LOCAL_FOLDER = "/tmp/jobmargin-checkpoints"
+
 
 def build_session(app_name: str = "jobmargin", master: str | None = None, **conf: str) -> SparkSession:
     """A session with DEFAULTS applied; keyword settings win (dots written as '__')."""
@@ -35,14 +36,10 @@ def build_session(app_name: str = "jobmargin", master: str | None = None, **conf
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the folder every executor can reach.
 
-    The cluster names that folder in ``spark.checkpoint.dir``.  Where it is unset
-    (tests on one machine) a folder under the warehouse directory's file system
-    default is used.
+    The cluster names that folder in ``spark.checkpoint.dir``; LOCAL_FOLDER is for
+    sessions on one machine that leave it unset.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join("/tmp", "jobmargin-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
     return f"{root.rstrip('/')}/jobmargin/{purpose}-{uuid.uuid4().hex}"
 
 
