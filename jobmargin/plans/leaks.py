@@ -162,7 +162,7 @@ def leak_archetypes(tables: Tables, rule: LeakRule = LeakRule()) -> DataFrame:
     """
     lines = materialise(leak_lines(tables, rule), "leak-lines")
     # Summed as decimals, so the totals do not depend on row order.
-    exact = [F.sum(F.col(c).cast("decimal(28,4)")) for c in ("var_labor_scaled", "var_total_scaled")]
+    exact = [F.sum(F.col(c).cast("decimal(28,10)")) for c in ("var_labor_scaled", "var_total_scaled")]
     totals = lines.groupBy("archetype").agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_distinct("project_id").alias("projects"),

@@ -585,8 +585,8 @@ BODIES: dict[str, str] = {
         {r('var_total_scaled')} AS var_total_scaled, {r('labor_overrun_norm')} AS labor_overrun_norm,
         {r('ot_ratio_td')} AS ot_ratio_td, {r('labor_bm_cost_norm')} AS labor_bm_cost_norm FROM classified""",
     "leak_archetypes": f"""SELECT archetype, count(*) AS lines, count(DISTINCT project_id) AS projects,
-        {d('sum(CAST(var_labor_scaled AS DECIMAL(28,4)))')} AS total_labor_var_scaled,
-        {d('sum(CAST(var_total_scaled AS DECIMAL(28,4)))')} AS total_var_scaled,
+        {r(d('sum(CAST(var_labor_scaled AS DECIMAL(28,10)))'))} AS total_labor_var_scaled,
+        {r(d('sum(CAST(var_total_scaled AS DECIMAL(28,10)))'))} AS total_var_scaled,
         {r('median(labor_bm_cost_norm)')} AS median_early_bm FROM classified GROUP BY 1""",
     "cross_project_pattern": """SELECT sov_description AS description, leaking_projects, leaking_lines FROM recurring""",
     "stream_labor_week": f"SELECT {fact_columns(FACT[:3], WEEKLY[:4])} FROM labor_w_uncut",
