@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from jobmargin.llm.best_fit import op7_best_fit_packing
+from jobmargin.llm.simhash import op5_simhash_near_dedup
 from jobmargin.llm.token_counts import op9_token_counts
 
 QUERIES = {function.__name__: function for function in (
-    op7_best_fit_packing, op9_token_counts,
+    op5_simhash_near_dedup, op7_best_fit_packing, op9_token_counts,
 )}
 
 STATEMENTS: dict[str, str] = {}
