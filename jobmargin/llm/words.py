@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
-import numpy as np
-
-MEMO_WORDS = 300_000  # words remembered by each Python worker; others are encoded each time
+MEMO_WORDS = 1_000_000  # words remembered by each Python worker; others are encoded each time
 LONGEST = 48          # longer words are not worth remembering
 
+MARKS = ".,;:!?"
+
 _SPACE_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -23,10 +24,14 @@ class _Memo(dict):
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.marks = {mark: encode(mark) for mark in MARKS}
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Uneven
+        letters, mark = word[:-1], word[-1]
+        if mark in self.marks and letters.isalpha() and (letters.isascii() or max(letters) < "\u0250"):
+            return self[letters] + self.marks[mark]  # letters and marks are never one token
         ids = self.encode(" " + word)
         if len(self) < MEMO_WORDS and len(word) <= LONGEST:
             self[word] = ids
@@ -34,7 +39,7 @@ class _Memo(dict):
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers.
+    """Ids of whole texts as unsigned 32-bit numbers of the machine (little-endian).
 
     Byte-level pre-tokenisation lets no token reach across a single space between two
     other characters (the space opens the next token), so the words between such spaces
@@ -52,7 +57,7 @@ class Encoder:
         self._memo = _Memo(self.encode)
 
     def encode(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         first, *rest = text.split(" ")
