@@ -5,11 +5,13 @@ from __future__ import annotations
 from jobmargin.llm.best_fit import op7_best_fit_packing
 from jobmargin.llm.pivots import op6_pivot_top_k
 from jobmargin.llm.projections import op8_projection_near_dedup
+from jobmargin.llm.quality import op2_quality
 from jobmargin.llm.simhash import op5_simhash_near_dedup
 from jobmargin.llm.token_counts import op9_token_counts
+from jobmargin.llm.toxicity import op4_toxicity
 
 QUERIES = {function.__name__: function for function in (
-    op5_simhash_near_dedup, op6_pivot_top_k, op7_best_fit_packing, op8_projection_near_dedup, op9_token_counts,
+    op2_quality, op4_toxicity, op5_simhash_near_dedup, op6_pivot_top_k, op7_best_fit_packing, op8_projection_near_dedup, op9_token_counts,
 )}
 
 STATEMENTS: dict[str, str] = {}
