@@ -14,7 +14,7 @@ PIVOTS = 32              # vectors whose distances to all others are computed be
 PIVOT_SAMPLE = 4096      # rows, in key order of a hash, from which pivots are chosen
 QUERY_BLOCK = 4096       # queries sent to the tasks at a time: the bound of what is broadcast
 STRIPE = 2048            # candidates bounded at a time in a task
-STEP = 64                # candidates of a query evaluated between two looks at the stopping rule
+STEP = 64                # candidates of a query evaluated before the first look at the stopping rule; then twice as many
 WIDEST = 1 << 24         # a larger component could leave the range of exact double sums
 
 
@@ -32,6 +32,11 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.array(vectors.tolist(), np.float64).reshape(len(vectors), -1)
 
 
+def _exact(points: np.ndarray, greatest: float) -> np.ndarray:
+    """The points as single-precision numbers where these add up whole numbers exactly."""
+    return points.astype(np.float32) if points.shape[1] * greatest**2 < 1 << 24 else points
+
+
 def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     squares = (rows**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * rows @ pivots.T
     return np.sqrt(np.maximum(squares, 0))
@@ -55,7 +60,11 @@ class Best:
     def floor(self, q: int) -> float:
         return self.scores[q][-1] if len(self.scores[q]) == self.k else -np.inf
 
-    def offer(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
+    def offer(self, q: int, scores: np.ndarray, ids: np.ndarray, own_id: int) -> None:
+        use = (scores >= self.floor(q)) & (ids != own_id)
+        if not use.any():
+            return
+        scores, ids = scores[use], ids[use]
         scores, ids = np.r_[self.scores[q], scores], np.r_[self.ids[q], ids]
         keep = np.lexsort((ids, -scores))[:self.k]
         self.scores[q], self.ids[q] = scores[keep], ids[keep]
@@ -68,23 +77,23 @@ def eliminate(best: Best, ids, queries, to_query, own, rows, to_row) -> int:
     (|q|^2 + |x|^2 - d(q, x)^2) / 2 from above.  Rows come in the order of that bound, and the first one
     strictly below the k-th best ends the search: later ones cannot enter, not even by a tie.
     """
-    lower = np.zeros((len(queries), len(rows)), np.float32)
-    for p in range(to_query.shape[1]):
-        np.maximum(lower, np.abs(to_query[:, p, None].astype(np.float32) - to_row[None, :, p].astype(np.float32)), out=lower)
-    q2, x2 = (queries**2).sum(1), (rows**2).sum(1)
-    slack = 1e-5 * (np.sqrt(q2.max()) + np.sqrt(x2.max()))  # above the rounding of single-precision distances
-    upper = (q2[:, None] + x2[None] - np.maximum(lower - slack, 0.0).astype(np.float64) ** 2) / 2 + 1e-3
+    if not len(rows):
+        return 0
+    q2, x2 = (queries.astype(np.float64)**2).sum(1), (rows.astype(np.float64)**2).sum(1)
+    slack = np.float32(1e-5 * (np.sqrt(q2.max()) + np.sqrt(x2.max())))  # above the rounding of single precision
+    by_pivot, to_query = np.ascontiguousarray(to_row.T.astype(np.float32)), to_query.astype(np.float32)
     computed = 0
     for q in range(len(queries)):
-        order, at = None, 0
-        alive = np.flatnonzero(upper[q] >= best.floor(q))
-        order = alive[np.argsort(-upper[q, alive], kind="stable")]
-        while at < len(order) and upper[q, order[at]] >= best.floor(q):
-            now = order[at:at + STEP]
-            now = now[own[now] != ids[q]]
-            best.offer(q, rows[now] @ queries[q], own[now])
+        lower = np.abs(by_pivot - to_query[q, :, None]).max(0, initial=0) - slack
+        upper = (q2[q] + x2 - np.maximum(lower, 0).astype(np.float64)**2) / 2 + 1e-3
+        alive = np.flatnonzero(upper >= best.floor(q))
+        order = alive[np.argsort(-upper[alive])]
+        at, step = 0, STEP
+        while at < len(order) and upper[order[at]] >= best.floor(q):
+            now = order[at:at + step]
+            best.offer(q, rows[now] @ queries[q], own[now], ids[q])
             computed += len(now)
-            at += STEP
+            at, step = at + step, 2 * step
     return computed
 
 
@@ -148,7 +157,9 @@ def _one_block(rows: DataFrame, asked: pd.DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), STRIPE):
                 part = batch.iloc[at:at + STRIPE]
-                eliminate(best, ids, queries, to_query, part["vec_id"].to_numpy(), _matrix(part["vector"]), _matrix(part["to_pivots"]))
+                rows = _matrix(part["vector"])
+                greatest = max(np.abs(rows).max(initial=0), np.abs(queries).max(initial=0))
+                eliminate(best, ids, _exact(queries, greatest), to_query, part["vec_id"].to_numpy(), _exact(rows, greatest), _matrix(part["to_pivots"]))
         for q, own in enumerate(ids):
             if len(best.ids[q]):
                 yield pd.DataFrame({"query_id": own, "vec_id": best.ids[q], "score": best.scores[q].astype(np.int64)})
