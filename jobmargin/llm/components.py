@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +51,19 @@ def components(links: DataFrame) -> DataFrame:
         mark, before = _mark(edges), mark
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As many links as join what the links a-b join: from each value to the least it reaches."""
+    values, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = ends[:len(a)], ends[len(a):], np.arange(len(values))
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == root).all():
+            moved = root != np.arange(len(values))
+            return values[moved], values[root[moved]]
+        root = new

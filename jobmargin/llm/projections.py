@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobmargin.llm.common import query, stored, table
-from jobmargin.llm.components import components
+from jobmargin.llm.components import components, spanning
 from jobmargin.llm.pivots import usable
 
 COSINE = 0.93
@@ -40,7 +40,7 @@ def distinct_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def projection_links(points: DataFrame, cosine: float, passes: int, window: int, seed: int = 11) -> DataFrame:
-    """Verified links (a, b) between neighbours in `passes` orders of points (grp, rep, vector) (eager).
+    """Verified links (a, b), enough of each block to join what they join, between neighbours in `passes` orders of points (grp, rep, vector) (eager).
 
     Each pass hashes every vector by the signs of its own random projections and sorts by group and
     the concatenated hashes.  The sort is a range partition whose key ends in the unique id, so
@@ -82,8 +82,9 @@ def projection_links(points: DataFrame, cosine: float, passes: int, window: int,
         for step in range(1, min(window, len(rows) - 1) + 1):
             near = (np.einsum("ij,ij->i", unit[:-step], unit[step:]) >= cosine) & (group[:-step] == group[step:]) & mine[:-step]
             at = np.flatnonzero(near)
-            found.append(pd.DataFrame({"a": reps[at], "b": reps[at + step]}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            found.append((reps[at], reps[at + step]))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *ends]) for ends in (zip(*found) if found else ((), ())))
+        return pd.DataFrame(dict(zip("ab", spanning(a, b))))  # links are counted later, over whole components
 
     return dealt.groupBy("block").applyInPandas(compare, "a long, b long")
 

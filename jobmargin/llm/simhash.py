@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmargin.llm.common import query, stored, table, whole_text
-from jobmargin.llm.components import components
+from jobmargin.llm.components import components, spanning
 
 SHINGLE, BITS, SEED = 4, 4, 42
 LEAF, FAN = 1024, 8      # fingerprints of a stored group; members of each node inside it
@@ -112,22 +112,6 @@ def _children(levels: list, depth: int) -> int:
     return 1 if levels[depth] is levels[depth - 1] else FAN
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As many links as join what the links a-b join: from each value to the least it reaches."""
-    values, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b, root = ends[:len(a)], ends[len(a):], np.arange(len(values))
-    while True:
-        least = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == root).all():
-            moved = root != np.arange(len(values))
-            return values[moved], values[root[moved]]
-        root = new
-
-
 def _cut(max_bits: int):
     """Over rows (part, key, fp) in Gray order: links inside each stored group, and the groups whose key may go on elsewhere."""
     def cut(batches):
