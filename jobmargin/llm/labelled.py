@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from jobmargin.llm.common import fold, whole_text
 
@@ -47,15 +46,12 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, most: tuple[int, int
 
 
 def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], name: str = "score") -> DataFrame:
-    """The rows of `docs` with a double column `name` in place of one of that name."""
-    docs = docs.drop(name)
+    """The rows of `docs` with a double column `name` in place of one of that name; other columns stay in the JVM."""
+    @F.pandas_udf("double")
+    def apply(texts: pd.Series) -> pd.Series:
+        return pd.Series(score(list(texts)))
 
-    def apply(batches):
-        for batch in batches:
-            batch[name] = score(["" if t is None else t for t in batch["text"]])
-            yield batch
-
-    return docs.mapInPandas(apply, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.withColumn(name, apply(whole_text()))
 
 
 def prior_shift(share: float, y: np.ndarray) -> float:

@@ -36,17 +36,12 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows' doc_id with their fingerprint as a signed long; null text counts as empty."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """doc_id, key (hash of the text) and fp, the fingerprint as a signed long; null text counts as empty."""
+    @F.pandas_udf("long")
+    def mark(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
-    def mark(batches):
-        for batch in batches:
-            own = np.array([fingerprint(t, shingle) for t in batch.pop("text")], np.uint64)
-            batch["fp"] = own.view(np.int64)
-            yield batch
-
-    texts = docs.select("doc_id", whole_text().alias("text"))
-    return texts.mapInPandas(mark, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.xxhash64(whole_text()).alias("key"), mark(whole_text()).alias("fp"))
 
 
 def gray_rank(column: Column) -> Column:
@@ -216,7 +211,7 @@ def links(fingerprints: DataFrame, max_bits: int = BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = BITS) -> DataFrame:
-    """doc_id, fp, component_id for each row: the least doc_id that its fingerprint reaches by links (eager).
+    """doc_id, key, fp, root, component_id for each row: its group, and the least doc_id that its fingerprint reaches by links (eager).
 
     Rows with equal fingerprints are one node, so copies cost nothing beyond their row.  A row
     whose doc_id is null is linked like others but names no component; a component of such
@@ -228,8 +223,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = BIT
     nodes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     nodes = stored(nodes, "simhash-nodes")
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = nodes.select("fp", "root").join(least, "root")
+    return marked.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = BITS) -> DataFrame:
+    """One row of `docs` for each group of near-duplicates, with its columns: the one with the least doc_id (nulls last; ties by text hash)."""
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc"), F.col("key").alias("key"))
+    chosen = near_duplicates(docs, shingle, max_bits).groupBy("root").agg(F.min(place).alias("row")).select(F.col("row.doc").alias("_doc"), F.col("row.key").alias("_key"))
+    keyed = docs.withColumn("_own", F.xxhash64(whole_text()))
+    same = keyed["doc_id"].eqNullSafe(chosen["_doc"]) & (F.col("_own") == F.col("_key"))
+    return keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
 
 
 @query

@@ -108,14 +108,14 @@ def fit(rows: list[bytes], y: np.ndarray, share: float) -> Model:
     return Model(intercept + labelled.prior_shift(share, y), weights(lead, squares) * ratio)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST) -> DataFrame:
-    """The rows of `docs` with score, the probability of label 1 by the text alone (fits first: eager).
+def score_toxicity(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST, name: str = "score") -> DataFrame:
+    """The rows of `docs` with column `name`, the probability of label 1 by the text alone (fits first: eager).
 
     Learns from at most `most` labelled documents outside the held-out fold.  Null text counts as
     empty; an empty text has the intercept's score; texts are read whole; repeated rows score alike.
     """
     rows, share = labelled.sample(docs, labels, "toxic", most, packed)
-    return labelled.scored(docs, fit(list(rows["x"]), rows["y"].to_numpy(int), share))
+    return labelled.scored(docs, fit(list(rows["x"]), rows["y"].to_numpy(int), share), name)
 
 
 @query
