@@ -12,6 +12,7 @@ from jobmargin.llm.common import query, table, whole_text
 
 LEVELS = ("domain", "lang", "source")
 BUCKET_ROWS = 1000  # documents of a leaf summed in one task, about
+SALTS = 64          # parts of a leaf matched with its share apart
 
 
 @dataclass(frozen=True)
@@ -95,7 +96,9 @@ def select(docs: DataFrame, target: Target = Target(), domain: Column | None = N
     leaves = own.groupBy(*LEVELS).agg(F.sum("weighs").alias("tokens"), F.count("*").alias("n_docs"))
     shares = budgets(leaves, target).where("share > 0")
     rounds = F.sequence(F.lit(0), ((F.col("share") - 1) / F.greatest("tokens", F.lit(1))).cast("int"))
-    dealt = own.join(shares, list(LEVELS)).withColumn("epoch", F.explode(rounds))
+    salted = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = own.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
+    dealt = own.join(salted, [*LEVELS, "salt"]).withColumn("epoch", F.explode(rounds))
     dealt = dealt.withColumn("amount", F.least("tokens", F.col("share") - F.col("epoch") * F.col("tokens")))
     dealt = dealt.withColumn("order", F.md5(F.concat_ws(":", F.lit(str(target.seed)), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     place = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
