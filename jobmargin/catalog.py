@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,10 +15,10 @@ from jobmargin.operators import (
 )
 from jobmargin.plans import earned_value as ev
 from jobmargin.plans import latest, leaks, ledger
-from jobmargin.session import shared_folder
+from jobmargin.session import materialise, shared_folder
 from jobmargin.sources import junction, readers, writers
 from jobmargin.sources.bridge import BridgeTables, bridge
-from jobmargin.sources.schemas import TABLES
+from jobmargin.sources.schemas import FILE_TABLES, TABLES
 from jobmargin.streaming import labor as stream_labor
 from jobmargin.streaming.runner import result_of
 
@@ -30,7 +30,8 @@ SEARCH = "rewh"
 NOTE_TYPE = "Issue Log"
 WORDS = ("the", "rewh")
 CAUSES = ("rewh", "ononst")
-SQL = "SELECT project_id, SUM(total_cost) AS total_cost FROM material_deliveries GROUP BY project_id;"
+SQL = """SELECT c.gc_name, SUM(m.total_cost) AS total_cost FROM material_deliveries m
+    JOIN contracts c ON c.project_id = m.project_id GROUP BY c.gc_name;"""
 
 
 def portable(df: DataFrame) -> DataFrame:
@@ -63,69 +64,112 @@ def as_text(df: DataFrame) -> DataFrame:
 
 # --- sources and sinks -------------------------------------------------------------------
 
-LOADED = ("rfis", "change_orders", "labor_logs", "material_deliveries", "field_notes",
-          "scope_creep_candidates")
+# The bridge leaves some required reasons empty, for the quality reports to find.
+CHECKSUM_PRIME = 1_000_003
+
+
+def checksum(name: str, data_type: T.DataType) -> Column:
+    """Sum over a column's values, each as a number; another value or type changes it."""
+    column = F.col(name)
+    if isinstance(data_type, T.StringType):
+        number = F.conv(F.substring(F.md5(column), 1, 8), 16, 10).cast("bigint")
+    elif isinstance(data_type, T.DateType):
+        number = F.unix_date(column).cast("bigint")
+    elif isinstance(data_type, T.DecimalType):
+        number = F.pmod((column * 10000).cast("bigint"), F.lit(CHECKSUM_PRIME))
+    else:
+        number = F.pmod(column.cast("bigint"), F.lit(CHECKSUM_PRIME))
+    return F.coalesce(F.sum(number), F.lit(0))
+
+
+def profile(tables: Mapping[str, DataFrame], names: Iterable[str]) -> DataFrame:
+    """(table_name, column_name, data_type, row_count, filled, checksum) of every declared column, from one pass over each table."""
+    reports = []
+    for name in names:
+        df = tables[name]
+        columns = F.array(*[
+            F.struct(
+                F.lit(c.name).alias("column_name"), F.lit(kind_of(df.schema[c.name].dataType)).alias("data_type"),
+                F.count(c.name).alias("filled"), checksum(c.name, df.schema[c.name].dataType).alias("checksum"),
+            ) for c in TABLES[name].columns
+        ])
+        totals = df.agg(F.count(F.lit(1)).alias("row_count"), columns.alias("columns"))
+        reports.append(totals.select(F.lit(name).alias("table_name"), "row_count", F.inline("columns")))
+    return portable(ledger.stack(reports))
+
+
+def kind_of(data_type: T.DataType) -> str:
+    """The type's name; of decimals, the scale, as sums widen the digits before the point."""
+    return f"decimal scale {data_type.scale}" if isinstance(data_type, T.DecimalType) else data_type.simpleString()
 
 
 def load_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """Tables written as CSV and loaded typed: rows and filled values per table."""
+    """All file tables written as CSV and loaded typed, with the junction: a profile of every column."""
     tables = bridge(spark, folder)
     path = shared_folder(spark, "load-tables")
-    for name in LOADED:
+    for name in FILE_TABLES:
         writers.write_csv_table(tables[name], f"{path}/{name}.csv")
-    loaded = readers.load_tables(spark, path, LOADED)
-    report = [
-        loaded[name].agg(
-            F.count(F.lit(1)).alias("row_count"),
-            sum(F.count(c.name) for c in TABLES[name].columns).alias("filled_values"),
-        ).select(F.lit(name).alias("table_name"), "*")
-        for name in LOADED
-    ]
-    return portable(ledger.stack(report))
+    return profile(readers.load_tables(spark, path, strict=False), TABLES)
+
+
+def _normalised(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Every table as text and typed again."""
+    tables = bridge(spark, folder)
+    extra = {"change_orders": ("affected_sov_lines",)}
+    return {
+        name: readers.normalise(as_text(tables[name]), TABLES[name], extra.get(name, ()), strict=False) for name in TABLES
+    }
 
 
 def normalise_nulls(spark: SparkSession, folder: str) -> DataFrame:
-    raw = as_text(bridge(spark, folder)["change_orders"])
-    typed = readers.normalise(raw, TABLES["change_orders"], ("affected_sov_lines",))
-    return portable(typed)
+    """Filled and missing values of every column after empty text has become NULL."""
+    report = profile(_normalised(spark, folder), TABLES)
+    return report.select("table_name", "column_name", "filled", (F.col("row_count") - F.col("filled")).alias("missing"))
 
 
 def normalise_bool(spark: SparkSession, folder: str) -> DataFrame:
-    """Several spellings of yes and no, by priority of the RFI."""
+    """Both flags from several spellings of yes and no, by priority of the RFI."""
     rfis = bridge(spark, folder)["rfis"]
     yes = F.when(F.col("priority") == "High", "1").when(F.col("priority") == "Low", "TRUE").otherwise("true")
     no = F.when(F.col("priority") == "High", "").when(F.col("priority") == "Low", "yes").otherwise(None)
-    spelled = F.when(F.col("cost_impact"), yes).otherwise(no)
-    return rfis.select("project_id", "rfi_number", readers.text_to_bool(spelled).alias("cost_impact"))
+    flags = [readers.text_to_bool(F.when(F.col(c), yes).otherwise(no)).alias(c) for c in ("cost_impact", "schedule_impact")]
+    return rfis.select("project_id", "rfi_number", *flags)
 
 
 def typed_schema(spark: SparkSession, folder: str) -> DataFrame:
-    return portable(readers.normalise(as_text(bridge(spark, folder)["labor_logs"]), TABLES["labor_logs"]))
+    """Declared types of every table, and the values that come through them."""
+    return profile(_normalised(spark, folder), TABLES)
 
 
 def write_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """Contracts and change orders written as Parquet clustered by project; change orders read back."""
-    tables = bridge(spark, folder)
+    """All tables written as Parquet clustered by project and read back: a profile of every column."""
     path = shared_folder(spark, "write-tables")
-    writers.write_tables(tables, path, ("contracts", "change_orders"))
-    return portable(readers.load_tables(spark, path, ("contracts", "change_orders"), "parquet")["change_orders"])
+    writers.write_tables(bridge(spark, folder), path)
+    return profile(readers.load_tables(spark, path, TABLES, "parquet", strict=False), TABLES)
 
 
-def _written_fact(spark: SparkSession, folder: str) -> DataFrame:
-    fact = portable(ev.earned_value(bridge(spark, folder)).drop(*INTERNAL))
+def _written_facts(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[str, DataFrame]:
+    tables = bridge(spark, folder)
+    plans = {
+        "fact_line_week": lambda: ev.earned_value(tables).drop(*INTERNAL),
+        "fact_closeout": lambda: ev.fact_closeout(tables), "project_week": lambda: ev.project_week(tables),
+    }
+    facts = {name: portable(plans[name]()) for name in names}
     path = shared_folder(spark, "facts")
-    writers.write_facts({"fact_line_week": fact}, path)
-    return writers.read_fact_week(spark, f"{path}/fact_line_week", fact)
+    writers.write_facts(facts, path)
+    return {name: writers.read_fact_week(spark, f"{path}/{name}", fact) for name, fact in facts.items()}
 
 
 def write_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """The weekly facts written as CSV and read back."""
-    return _written_fact(spark, folder)
+    """The weekly, closeout and project-week facts written as CSV and read back, one below the other."""
+    facts = _written_facts(spark, folder, ("fact_line_week", "fact_closeout", "project_week"))
+    week, closeout, project = (df.withColumn("fact", F.lit(name)) for name, df in facts.items())
+    return week.unionByName(closeout, True).unionByName(project, True)
 
 
 def read_fact_week(spark: SparkSession, folder: str) -> DataFrame:
     """Project weeks computed from the written facts; money is exact again at six places."""
-    fact = _written_fact(spark, folder)
+    fact = _written_facts(spark, folder, ("fact_line_week",))["fact_line_week"]
     amounts = [f.name for f in fact.schema.fields if isinstance(f.dataType, T.DoubleType)]
     exact = fact.withColumns({c: F.col(c).cast("decimal(28,6)") for c in amounts})
     return portable(ev.project_week_from(exact))
@@ -163,7 +207,7 @@ def bid_margin(tables: BridgeTables) -> DataFrame:
 
 
 def realized_margin(tables: BridgeTables) -> DataFrame:
-    rows = ledger.project_ledger(tables, ["labor", "material", "billed"])
+    rows = ledger.with_contract(tables, ledger.project_ledger(tables, ["labor", "material", "billed"]))
     margin_column = m.realized_margin(m.zero_if_null("total_billed"), m.actual_cost())
     return rows.select("project_id", margin_column.alias("realized_margin"))
 
@@ -173,7 +217,7 @@ def margin_delta(tables: BridgeTables) -> DataFrame:
 
 
 def billing_lag(tables: BridgeTables) -> DataFrame:
-    rows = ledger.project_ledger(tables, ["labor", "material", "billed"])
+    rows = ledger.with_contract(tables, ledger.project_ledger(tables, ["labor", "material", "billed"]))
     billed, cost = m.zero_if_null("total_billed"), m.actual_cost()
     return rows.select(
         "project_id", m.billing_lag(cost, billed).alias("lag"), m.billing_lag_pct(cost, billed).alias("lag_pct")
@@ -212,7 +256,7 @@ def public(operator: Callable[[BridgeTables], DataFrame]) -> Callable[[BridgeTab
 
 
 def select_sql(spark: SparkSession, folder: str) -> DataFrame:
-    return portable(adhoc.select_sql(spark, bridge(spark, folder), SQL, ("material_deliveries",)))
+    return portable(adhoc.select_sql(spark, bridge(spark, folder), SQL))
 
 
 # --- streams -----------------------------------------------------------------------------
@@ -224,8 +268,10 @@ def stream_labor_week(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_overrun_alerts(spark: SparkSession, folder: str) -> DataFrame:
     entries = stream_labor.labor_stream(spark, folder)
-    running = stream_labor.stream_overrun_alerts(entries, bridge(spark, folder)["sov_budget"])
-    return portable(result_of(running, ["project_id"], "stream-overruns"))
+    budget = bridge(spark, folder)["sov_budget"].groupBy("project_id").agg(
+        F.sum("estimated_labor_cost").alias("estimated_labor_cost"))
+    running = stream_labor.stream_overrun_alerts(entries, materialise(budget, "stream-budget"))
+    return portable(result_of(running, ["project_id"], "stream-overruns").where("open").drop("open"))
 
 
 QUERIES: dict[str, Query] = {

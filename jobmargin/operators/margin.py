@@ -14,8 +14,8 @@ from jobmargin.session import materialise
 
 Tables = Mapping[str, DataFrame]
 
-RANK_STEPS = 1000
-RANK_SPAN = 50.0
+RANK_BUCKETS = 256
+RANK_ACCURACY = 10_000
 
 
 def _project_margins(tables: Tables) -> DataFrame:
@@ -75,19 +75,20 @@ def margin_rank(tables: Tables) -> DataFrame:
 
     The rank of a project is one plus the number of projects with a lower delta.
     Ranking in one window would sort the whole portfolio in a single task.  Instead
-    distinct deltas are counted, put into a bounded number of ordered buckets and
-    ranked inside each; only the bucket totals are summed up in one task.  The margins,
-    one row per project, are written once because the ranking reads them three times.
+    distinct deltas are counted, cut into ordered buckets at quantiles from a sketch and
+    ranked inside each; only the bucket totals are summed up in one task.  The counts are
+    exact wherever the edges lie.  Eager: the margins, one row per project, are written
+    once because the ranking reads them three times.
     """
-    ranked_on = F.round("margin_delta", 6)
     margins = materialise(_project_margins(tables).select(
-        "project_id", "project_name", "bid_margin", "realized_margin", ranked_on.alias("margin_delta")
+        "project_id", "project_name", "bid_margin", "realized_margin", "margin_delta"
     ), "project-margins")
     per_delta = margins.groupBy("margin_delta").agg(F.count(F.lit(1)).alias("projects"))
-    # The step is monotone, so lower buckets hold only lower deltas; the outermost two
-    # take everything beyond +-RANK_SPAN, which bounds the bucket count.
-    clamped = F.greatest(F.lit(-RANK_SPAN), F.least(F.lit(RANK_SPAN), F.col("margin_delta")))
-    per_delta = per_delta.withColumn("bucket", F.floor(clamped * RANK_STEPS))
+    shares = [k / RANK_BUCKETS for k in range(1, RANK_BUCKETS)]
+    cuts = margins.agg(F.percentile_approx("margin_delta", shares, RANK_ACCURACY)).first()[0] or []
+    edges = F.array(*[F.lit(cut) for cut in cuts]).cast("array<double>")
+    # Lower buckets hold only lower deltas.
+    per_delta = per_delta.withColumn("bucket", F.size(F.filter(edges, lambda edge: edge <= F.col("margin_delta"))))
     below_bucket = per_delta.groupBy("bucket").agg(F.sum("projects").alias("in_bucket")).select(
         "bucket",
         (F.sum("in_bucket").over(Window.orderBy("bucket")) - F.col("in_bucket")).alias("below_bucket"),

@@ -13,7 +13,6 @@ from jobmargin.operators.portfolio import for_project
 Tables = Mapping[str, DataFrame]
 
 RECENT_LIMIT = 100
-BROADCAST_LIMIT = 100_000
 
 
 def _with_project_name(tables: Tables, notes: DataFrame) -> DataFrame:
@@ -49,8 +48,6 @@ def field_notes_recent(tables: Tables, limit: int = RECENT_LIMIT) -> DataFrame:
         .limit(limit)
         .select("note_id", "project_name")
     )
-    if limit <= BROADCAST_LIMIT:
-        chosen = F.broadcast(chosen)
     return tables["field_notes"].join(chosen, "note_id").orderBy(F.desc("date"), "note_id")
 
 

@@ -161,12 +161,13 @@ def dq_billing_cumulative(tables: Tables) -> DataFrame:
 
 
 def dq_cost_code(tables: Tables) -> DataFrame:
-    """Per project: labor rows whose cost code is not the line number of their SOV line."""
+    """Per project: labor rows whose cost code is not the line number of their SOV line, and rows of unknown lines."""
     codes = tables["labor_logs"].groupBy("project_id", "sov_line_id", "cost_code").agg(
         F.count(F.lit(1)).alias("n"))
     sov = tables["sov"].select("sov_line_id", "line_number")
-    wrong = F.col("cost_code") != F.col("line_number")
-    return codes.join(sov, "sov_line_id").groupBy("project_id").agg(
+    wrong, unknown = F.col("cost_code") != F.col("line_number"), F.col("known").isNull()
+    return codes.join(sov.withColumn("known", F.lit(True)), "sov_line_id", "left").groupBy("project_id").agg(
         F.sum("n").alias("labor_rows"),
         F.coalesce(F.sum(F.when(wrong, F.col("n"))), F.lit(0)).alias("wrong_rows"),
+        F.coalesce(F.sum(F.when(unknown, F.col("n"))), F.lit(0)).alias("unknown_line_rows"),
     )

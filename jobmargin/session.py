@@ -37,10 +37,25 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the folder every executor can reach.
 
     The cluster names that folder in ``spark.checkpoint.dir``; LOCAL_FOLDER is for
-    sessions on one machine that leave it unset.
+    sessions in one process that leave it unset.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
-    return f"{root.rstrip('/')}/jobmargin/{purpose}-{uuid.uuid4().hex}"
+    return f"{_scratch(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _scratch(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
+        root = LOCAL_FOLDER
+    return f"{root.rstrip('/')}/jobmargin/{spark.sparkContext.applicationId}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; frames that read it end with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:

@@ -7,12 +7,12 @@ Spark's widened decimal types, so one very large project does not overflow.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from jobmargin.functions.text import shortened
 from jobmargin.sources.junction import co_sov_lines
 
 # Texts the views assign by position.
@@ -68,46 +68,39 @@ def _hundredths(number: Column) -> Column:
 
 
 def project_key(number: Column) -> Column:
-    """PRJ- and the number, zero-filled to six digits and never cut.
-
-    The key is never NULL, which spares a not-null check of the built text per row.
-    """
+    """PRJ- and the number, zero-filled to six digits and never cut; NULL stays NULL."""
     digits = number.cast("string")
     filled = F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0"))
-    return F.concat(F.lit("PRJ-"), F.coalesce(filled, F.lit("unknown")))
+    return F.concat(F.lit("PRJ-"), filled)
 
 
 def line_key(project_number: Column, line_number: Column) -> Column:
     return F.concat(project_key(project_number), F.lit("-SOV-0"), line_number.cast("string"))
 
 
-# Schemas already read from a file's footer, by path.
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
-class BridgeTables(dict):
+class BridgeTables(Mapping):
     """The twelve tables, each built on first use."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        super().__init__()
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._built: dict[str, DataFrame] = {}
         self._sources: dict[str, DataFrame] = {}
 
-    def __missing__(self, name: str) -> DataFrame:
-        frame = BUILDERS[name](self)
-        self[name] = frame
-        return frame
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = BUILDERS[name](self)
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(BUILDERS)
+
+    def __len__(self) -> int:
+        return len(BUILDERS)
 
     def source(self, name: str) -> DataFrame:
         if name not in self._sources:
-            path = f"{self.folder}/{name}.parquet"
-            reader = self.spark.read
-            if path in _SCHEMAS:
-                reader = reader.schema(_SCHEMAS[path])
-            frame = reader.parquet(path)
-            _SCHEMAS[path] = frame.schema
-            self._sources[name] = frame
+            self._sources[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._sources[name]
 
     def project_of(self, number: str) -> Column:
@@ -402,7 +395,7 @@ def _scope_creep_candidates(t: BridgeTables) -> DataFrame:
         _map(EVENT_CO_STATUS, "event_type").alias("co_status"),
         F.when(event % 3 == 0, "design_conflict").otherwise("owner_change").alias("root_cause"),
         _pick(RESPONSIBILITIES, event % 7).alias("responsibility"),
-        F.substring("full_description", 1, 200).alias("description"),
+        shortened("full_description", 200).alias("description"),
         "full_description",
     )
 

@@ -30,21 +30,58 @@ def typed_column(raw: Column, data_type: T.DataType) -> Column:
     return empty_to_null(raw).cast(data_type)
 
 
-def normalise(raw: DataFrame, table: Table, extra: Iterable[str] = ()) -> DataFrame:
+def checked(column: Column, table: Table, declared, strict: bool) -> Column:
+    """The column; in strict loads a missing required value fails the load."""
+    if not (strict and declared.required):
+        return column.alias(declared.name)
+    message = F.lit(f"{table.name}.{declared.name} is required")
+    failed = F.raise_error(message).cast(declared.type)
+    return F.when(column.isNull(), failed).otherwise(column).alias(declared.name)
+
+
+def require_columns(raw: DataFrame, table: Table) -> None:
+    missing = [c.name for c in table.columns if c.required and c.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{table.name} lacks required columns: {', '.join(missing)}")
+
+
+def normalise(raw: DataFrame, table: Table, extra: Iterable[str] = (), strict: bool = True) -> DataFrame:
     """All-text rows to the declared schema, matched by column name.
 
-    A declared column that the input lacks becomes NULL; ``extra`` names text
-    columns to carry along beside the schema.
+    In strict loads a missing required column or value is an error; other columns that the
+    input lacks become NULL.  ``extra`` names text columns to carry along beside the schema.
     """
+    if strict:
+        require_columns(raw, table)
+
     def source(name: str) -> Column:
         return F.col(name) if name in raw.columns else F.lit(None).cast("string")
 
-    typed = [typed_column(source(c.name), c.type).alias(c.name) for c in table.columns]
+    typed = [checked(typed_column(source(c.name), c.type), table, c, strict) for c in table.columns]
     carried = [empty_to_null(source(name)).alias(name) for name in extra]
     return raw.select(*typed, *carried)
 
 
-def read_csv_table(spark: SparkSession, path: str, name: str, multi_line: bool | None = None) -> DataFrame:
+def conform(raw: DataFrame, table: Table, extra: Iterable[str] = (), strict: bool = True) -> DataFrame:
+    """Typed rows cast to the declared schema under the same checks; wider decimals keep their digits before the point."""
+    if strict:
+        require_columns(raw, table)
+
+    def source(declared) -> Column:
+        if declared.name not in raw.columns:
+            return F.lit(None).cast(declared.type)
+        own, wanted = raw.schema[declared.name].dataType, declared.type
+        if isinstance(wanted, T.DecimalType) and isinstance(own, T.DecimalType):
+            whole = max(own.precision - own.scale, wanted.precision - wanted.scale)
+            wanted = T.DecimalType(min(38, whole + wanted.scale), wanted.scale)
+        return F.col(declared.name).cast(wanted)
+
+    typed = [checked(source(c), table, c, strict) for c in table.columns]
+    return raw.select(*typed, *[F.col(name) for name in extra if name in raw.columns])
+
+
+def read_csv_table(spark: SparkSession, path: str, name: str, multi_line: bool | None = None,
+                   strict: bool = True) -> DataFrame:
     """One table from CSV with a header row.
 
     Quoted line breaks need ``multiLine``, which reads a file in one task, so it is
@@ -62,19 +99,26 @@ def read_csv_table(spark: SparkSession, path: str, name: str, multi_line: bool |
         mode="FAILFAST",
     )
     extra = ("affected_sov_lines",) if name == "change_orders" else ()
-    return normalise(raw, table, extra)
+    return normalise(raw, table, extra, strict)
 
 
 def load_tables(spark: SparkSession, folder: str, names: Iterable[str] = FILE_TABLES,
-                fmt: str = "csv") -> dict[str, DataFrame]:
-    """The file tables of a folder, plus the junction derived from change orders."""
+                fmt: str = "csv", strict: bool = True) -> dict[str, DataFrame]:
+    """The file tables of a folder, plus the junction derived from change orders.
+
+    Whatever the format, rows come out in the declared types; unless ``strict`` is off, a
+    load fails on a missing required column or value.
+    """
     from jobmargin.sources.junction import co_sov_lines
 
     folder = folder.rstrip("/")
     if fmt == "csv":
-        tables = {name: read_csv_table(spark, f"{folder}/{name}.csv", name) for name in names}
+        tables = {name: read_csv_table(spark, f"{folder}/{name}.csv", name, strict=strict) for name in names}
     else:
-        tables = {name: spark.read.format(fmt).load(f"{folder}/{name}") for name in names}
-    if "change_orders" in tables:
+        tables = {
+            name: conform(spark.read.format(fmt).load(f"{folder}/{name}"), TABLES[name], ("affected_sov_lines",), strict)
+            for name in names
+        }
+    if "change_orders" in tables and "change_order_sov_lines" not in tables:
         tables["change_order_sov_lines"] = co_sov_lines(tables)
     return tables

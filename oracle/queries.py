@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobmargin.catalog import CAUSES, LOADED, NOTE_TYPE, PROJECT, SEARCH, WORDS
+from jobmargin.catalog import CAUSES, CHECKSUM_PRIME, NOTE_TYPE, PROJECT, SEARCH, WORDS
 from jobmargin.plans import leaks
 from jobmargin.sources.schemas import DOMAINS, REFERENCES, TABLES
 from oracle.tables import with_tables
@@ -304,9 +304,26 @@ PROJECT_MARGINS = f"""SELECT project_id, project_name, {d('value')} AS contract_
 HELPERS["margins"] = PROJECT_MARGINS
 
 
-def filled(table: str) -> str:
-    counts = " + ".join(f'count({c.name})' for c in TABLES[table].columns)
-    return f"SELECT '{table}' AS table_name, count(*) AS row_count, {counts} AS filled_values FROM {table}"
+def checksum(c) -> str:
+    kind = c.type.typeName()
+    if kind == "string":
+        number = f"CAST('0x' || substring(md5({c.name}), 1, 8) AS BIGINT)"
+    elif kind == "date":
+        number = f"date_diff('day', DATE '1970-01-01', {c.name})"
+    else:
+        whole = f"CAST({c.name} * 10000 AS BIGINT)" if kind == "decimal" else i(c.name)
+        number = f"(({whole} % {CHECKSUM_PRIME} + {CHECKSUM_PRIME}) % {CHECKSUM_PRIME})"
+    return i(f"coalesce(sum({number}), 0)")
+
+
+def profile(table: str) -> str:
+    """A row for each declared column of a table: its type, and what its values come to."""
+    columns = ", ".join(
+        f"""{{'column_name': '{c.name}', 'data_type': '{f"decimal scale {c.type.scale}" if c.type.typeName() == "decimal" else c.type.simpleString()}',
+        'filled': count({c.name}), 'checksum': {checksum(c)}}}""" for c in TABLES[table].columns
+    )
+    return f"""SELECT '{table}' AS table_name, row_count, unnest(columns, recursive := true)
+        FROM (SELECT count(*) AS row_count, [{columns}] AS columns FROM {table})"""
 
 
 def primary_key(table: str) -> str:
@@ -354,14 +371,15 @@ def union(parts) -> str:
 
 
 BODIES: dict[str, str] = {
-    "load_tables": union(filled(t) for t in LOADED),
-    "normalise_nulls": f"SELECT {CHANGE_ORDER_COLUMNS}, affected_sov_lines FROM change_orders",
-    "normalise_bool": """SELECT project_id, rfi_number, cost_impact FROM rfis""",
-    "typed_schema": f"""SELECT log_id, project_id, date, employee_id, role, sov_line_id, {d('hours_st')} AS hours_st,
-        {d('hours_ot')} AS hours_ot, {d('hourly_rate')} AS hourly_rate, {d('burden_multiplier')} AS burden_multiplier,
-        work_area, {i('cost_code')} AS cost_code FROM labor_logs""",
-    "write_tables": f"SELECT {CHANGE_ORDER_COLUMNS}, affected_sov_lines FROM change_orders",
-    "write_facts": f"SELECT {fact_columns(FACT, TD, EARNED)} FROM earned",
+    "load_tables": union(profile(t) for t in TABLES),
+    "normalise_nulls": f"""SELECT table_name, column_name, filled, row_count - filled AS missing
+        FROM ({union(profile(t) for t in TABLES)})""",
+    "normalise_bool": """SELECT project_id, rfi_number, cost_impact, schedule_impact FROM rfis""",
+    "typed_schema": union(profile(t) for t in TABLES),
+    "write_tables": union(profile(t) for t in TABLES),
+    "write_facts": f"""SELECT 'fact_line_week' AS fact, {fact_columns(FACT, TD, EARNED)} FROM earned
+        UNION ALL BY NAME SELECT 'fact_closeout' AS fact, {fact_columns(FACT, TD, EARNED, BURNS, CLOSEOUT)} FROM closeout
+        UNION ALL BY NAME SELECT 'project_week' AS fact, * FROM ({PROJECT_WEEK})""",
     "read_fact_week": PROJECT_WEEK,
     "co_sov_lines": "SELECT project_id, co_number, sov_line_id FROM change_order_sov_lines",
     "co_impact_by_sov_line": f"""SELECT s.project_id, s.sov_line_id, s.description, count(*) AS co_count,
@@ -399,7 +417,8 @@ BODIES: dict[str, str] = {
         + " AND ".join(f"list_contains({WORDS_OF}, '{w}')" for w in WORDS),
     "field_note_tokens": f"""SELECT DISTINCT note_id, token
         FROM (SELECT note_id, unnest({WORDS_OF}) AS token FROM field_notes) WHERE token <> ''""",
-    "select_sql": f"SELECT project_id, {d('sum(total_cost)')} AS total_cost FROM material_deliveries GROUP BY 1",
+    "select_sql": f"""SELECT gc_name, {d('sum(total_cost)')} AS total_cost
+        FROM material_deliveries JOIN contracts USING (project_id) GROUP BY 1""",
     "portfolio_overview": f"""SELECT {d('value')} AS total_contract_value, {d('bid')} AS total_bid_cost,
         {r(share('value - bid', 'value'))} AS bid_margin, {d('billed')} AS total_billed,
         {d('labor')} AS actual_labor_cost, {d('material')} AS actual_material_cost,
@@ -612,8 +631,9 @@ BODIES: dict[str, str] = {
         FROM (SELECT *, sum(period_total) OVER (PARTITION BY project_id ORDER BY application_number) AS running
               FROM billing_history) GROUP BY 1""",
     "dq_cost_code": f"""SELECT l.project_id, count(*) AS labor_rows,
-        count(*) FILTER (WHERE cost_code <> line_number) AS wrong_rows
-        FROM labor_logs l JOIN sov s ON s.sov_line_id = l.sov_line_id GROUP BY 1""",
+        count(*) FILTER (WHERE cost_code <> line_number) AS wrong_rows,
+        count(*) FILTER (WHERE s.sov_line_id IS NULL) AS unknown_line_rows
+        FROM labor_logs l LEFT JOIN sov s ON s.sov_line_id = l.sov_line_id GROUP BY 1""",
 }
 
 STATEMENTS = {name: with_tables(body, HELPERS) for name, body in BODIES.items()}

@@ -63,7 +63,7 @@ def frame(spark, name, header, lines):
     rows = [tuple(line.split(separator)) for line in lines]
     schema = ", ".join(f"{c} string" for c in columns)
     extra = ("affected_sov_lines",) if name == "change_orders" else ()
-    return normalise(spark.createDataFrame(rows, schema), TABLES[name], extra)
+    return normalise(spark.createDataFrame(rows, schema), TABLES[name], extra, strict=False)
 
 
 def portfolio(spark, **replaced):

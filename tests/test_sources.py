@@ -8,7 +8,9 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from jobmargin.operators.adhoc import select_sql
 from jobmargin.sources import readers, writers
+from jobmargin.sources.bridge import bridge
 from jobmargin.sources.junction import co_impact_by_sov_line, co_sov_lines
 from jobmargin.sources.schemas import TABLES
 from tests.portfolio import by, portfolio
@@ -39,7 +41,8 @@ def test_empty_is_null_and_text_keeps_blanks_quotes_and_lines(spark, tmp_path):
 
 
 def test_a_number_that_does_not_parse_fails_the_load(spark, tmp_path):
-    path = put(tmp_path, "sov_budget", "sov_line_id,project_id,estimated_labor_hours\nP1-1,P1,ten\n")
+    path = put(tmp_path, "sov_budget", "sov_line_id,project_id,estimated_labor_hours,estimated_labor_cost,"
+               "estimated_material_cost,estimated_equipment_cost,estimated_sub_cost,productivity_factor\nP1-1,P1,ten,1,1,1,1,1\n")
     with pytest.raises(PySparkException):
         readers.read_csv_table(spark, path, "sov_budget").collect()
 
@@ -63,7 +66,7 @@ def test_csv_round_trip_of_all_file_tables(spark, tmp_path):
     names = [n for n in tables if n != "change_order_sov_lines"]
     for name in names:
         writers.write_csv_table(tables[name], f"{tmp_path}/{name}.csv")
-    loaded = readers.load_tables(spark, str(tmp_path), names)
+    loaded = readers.load_tables(spark, str(tmp_path), names, strict=False)
     for name in tables:
         assert sorted(map(repr, loaded[name].collect())) == sorted(map(repr, tables[name].collect())), name
 
@@ -71,9 +74,54 @@ def test_csv_round_trip_of_all_file_tables(spark, tmp_path):
 def test_parquet_tables_are_clustered_and_prune_by_project(spark, tmp_path):
     tables = portfolio(spark)
     writers.write_tables(tables, str(tmp_path), ("labor_logs", "contracts"))
-    back = readers.load_tables(spark, str(tmp_path), ("labor_logs", "contracts"), "parquet")
+    back = readers.load_tables(spark, str(tmp_path), ("labor_logs", "contracts"), "parquet", strict=False)
     assert sorted(map(repr, back["labor_logs"].collect())) == sorted(map(repr, tables["labor_logs"].collect()))
     plan = back["labor_logs"].where("project_id = 'P1'")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(project_id,P1)" in plan
     writers.write_table(tables["labor_logs"], f"{tmp_path}/parts", partition_by=("project_id",))
     assert spark.read.parquet(f"{tmp_path}/parts").where("project_id = 'P2'").count() == 2
+
+
+SOV_HEAD = "project_id,sov_line_id,line_number,description,scheduled_value,labor_pct,material_pct\n"
+
+
+def test_a_missing_required_column_or_value_fails_the_load(spark, tmp_path):
+    path = put(tmp_path, "sov", SOV_HEAD.replace("project_id", "project") + "P1,P1-1,1,Duct,1,0,0\n")
+    with pytest.raises(ValueError, match="project_id"):
+        readers.read_csv_table(spark, path, "sov")
+    path = put(tmp_path, "sov", SOV_HEAD + ",P1-1,1,Duct,1,0,0\n")
+    with pytest.raises(PySparkException, match="sov.project_id is required"):
+        readers.read_csv_table(spark, path, "sov").collect()
+    assert readers.read_csv_table(spark, path, "sov", strict=False).first().project_id is None
+
+
+def test_parquet_is_cast_and_checked(spark, tmp_path):
+    loose = spark.createDataFrame(
+        [("P1-1", "P1", 1, "Duct", "10.5", 0.25, 0.5)],
+        "sov_line_id string, project_id string, line_number long, description string, scheduled_value string, labor_pct double, material_pct double")
+    loose.write.parquet(f"{tmp_path}/a/sov")
+    row = readers.load_tables(spark, f"{tmp_path}/a", ("sov",), "parquet")["sov"]
+    assert row.dtypes == [(f.name, f.dataType.simpleString()) for f in TABLES["sov"].struct.fields]
+    assert row.first().scheduled_value == Decimal("10.50")
+    loose.drop("project_id").write.parquet(f"{tmp_path}/b/sov")
+    with pytest.raises(ValueError, match="project_id"):
+        readers.load_tables(spark, f"{tmp_path}/b", ("sov",), "parquet")
+    loose.withColumn("project_id", F.lit(None).cast("string")).write.parquet(f"{tmp_path}/c/sov")
+    with pytest.raises(PySparkException, match="is required"):
+        readers.load_tables(spark, f"{tmp_path}/c", ("sov",), "parquet")["sov"].collect()
+
+
+def test_the_bridge_is_a_whole_mapping(spark, tmp_path):
+    tables = bridge(spark, "/root/testdata/sf0.001")
+    assert list(tables) == list(TABLES) and len(tables) == 12 and "sov" in tables and "other" not in tables
+    writers.write_tables(tables, str(tmp_path))
+    assert sorted(os.listdir(tmp_path)) == sorted(TABLES)
+
+
+def test_select_sees_all_tables_and_leaves_own_views(spark):
+    tables = portfolio(spark)
+    spark.range(3).createOrReplaceTempView("sov")
+    found = select_sql(spark, tables, "SELECT count(*) AS n FROM sov JOIN contracts USING (project_id)")
+    assert found.first().n == tables["sov"].count()
+    assert spark.table("sov").count() == 3 and not spark.catalog.tableExists("contracts")
+    spark.catalog.dropTempView("sov")

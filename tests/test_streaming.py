@@ -64,6 +64,23 @@ def test_overrun_alerts_follow_the_running_total(spark, tmp_path):
     alerts = stream.stream_overrun_alerts(open_stream(spark, tables, f"{tmp_path}/in"), tables["sov_budget"])
     run_updates(alerts, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     updates = spark.read.parquet(f"{tmp_path}/out")
-    assert [r.actual_labor_cost for r in updates.orderBy("batch_id").collect()] == [650]
-    final = by(latest_state(updates, ["project_id"]), "project_id")
+    assert [r.actual_labor_cost for r in updates.where("open").orderBy("batch_id").collect()] == [650]
+    final = by(latest_state(updates, ["project_id"]).where("open"), "project_id")
     assert set(final) == {"P1"} and final["P1"]["overrun"] == 150
+
+
+def test_a_correction_closes_an_alert(spark, tmp_path):
+    tables = portfolio(spark)
+    entry = tables["labor_logs"].where("project_id = 'P1'").limit(1)
+    for number, hours in enumerate((10, 10, -15)):
+        changed = entry.select(*[F.lit(value).cast(entry.schema[name].dataType).alias(name) if (value := {
+            "hours_st": hours, "hours_ot": 0, "hourly_rate": 100, "burden_multiplier": 1, "log_id": f"X{number}"}.get(name)) is not None
+            else F.col(name) for name in entry.columns])
+        changed.coalesce(1).write.parquet(f"{tmp_path}/in/{number:03d}")
+    budget = spark.createDataFrame([("P1", 1000)], "project_id string, cost int").select(
+        "project_id", F.col("cost").cast("decimal(12,2)").alias("estimated_labor_cost"))
+    alerts = stream.stream_overrun_alerts(open_stream(spark, tables, f"{tmp_path}/in"), budget)
+    run_updates(alerts, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    updates = spark.read.parquet(f"{tmp_path}/out")
+    assert [r.open for r in updates.orderBy("batch_id").collect()] == [False, True, False]
+    assert latest_state(updates, ["project_id"]).where("open").count() == 0
