@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobmargin.llm.common import fold, whole_text
+from jobmargin.llm.common import fold, stored, whole_text
 
 FOLDS, HELD = 3, 1
 
@@ -18,12 +18,12 @@ def held_out(key: str = "doc_id") -> Column:
     return fold(key, FOLDS) == HELD
 
 
-def sample(docs: DataFrame, labels: DataFrame, target: str, most: tuple[int, int], features: Callable[[str], bytes]) -> tuple[pd.DataFrame, float]:
-    """Features and y of labelled rows to learn from, and the share of y = 1 among all of them.
+def sample(docs: DataFrame, labels: DataFrame, target: str, most: tuple[int, int], features: Callable[[str], bytes]) -> tuple[DataFrame, float]:
+    """doc_id, y and features x of labelled rows to learn from, stored, and the share of y = 1 among all of them (eager).
 
     At most most[y] labelled documents of each class, the first ones by a hash of their id, are
     sent to the tasks and matched with `docs`; of rows that repeat one id a single one is taken,
-    so the driver receives at most sum(most) rows.  Held-out ids and null or other labels are not used.
+    so there are at most sum(most) rows.  Held-out ids and null or other labels are not used.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & ~held_out())
     known = known.select("doc_id", F.col(target).cast("int").alias("y")).distinct()
@@ -40,9 +40,8 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, most: tuple[int, int
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "y"])
-    found = texts.select("doc_id", "y", "text").mapInPandas(describe, f"doc_id {kind}, y int, x binary").toPandas()
-    found = found.sort_values(["doc_id", "y"], ignore_index=True)
-    return found, counts.get(1, 0) / max(1, sum(counts.values()))
+    found = texts.select("doc_id", "y", "text").mapInPandas(describe, f"doc_id {kind}, y int, x binary")
+    return stored(found, "labelled-sample"), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], name: str = "score") -> DataFrame:
@@ -54,6 +53,12 @@ def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], name: str
     return docs.withColumn(name, apply(whole_text()))
 
 
+def collected(rows: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """Features and y of a sample at the driver, in the order of ids."""
+    found = rows.toPandas().sort_values(["doc_id", "y"])
+    return [bytes(x) for x in found["x"]], found["y"].to_numpy(int)
+
+
 def prior_shift(share: float, y: np.ndarray) -> float:
     """What to add to log odds learnt from a sample whose classes are mixed otherwise than all labelled rows."""
     if not 0 < share < 1 or not 0 < y.mean() < 1:

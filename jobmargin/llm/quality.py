@@ -134,7 +134,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MO
     empty and an empty text is scored by its statistics; texts are read whole; repeated rows score alike.
     """
     rows, share = labelled.sample(docs, labels, "quality", most, packed)
-    return labelled.scored(docs, fit(list(rows["x"]), rows["y"].to_numpy(int), share))
+    return labelled.scored(docs, fit(*labelled.collected(rows), share))
 
 
 @query

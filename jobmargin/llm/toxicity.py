@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,40 +68,75 @@ class Model:
         return labelled.logistic(out)
 
 
-def fit(rows: list[bytes], y: np.ndarray, share: float) -> Model:
-    """Log-count ratios of the features, then logistic regression on the scaled features.
+def log_count_ratios(rows: DataFrame) -> np.ndarray:
+    """Of each bucket, how much more it counts in documents of label 1 than of label 0; zero for those that are no features.
+
+    Sums by bucket over all rows of the sample (y, x); the driver receives a row a bucket.
+    """
+    def count(batches):
+        sums = np.zeros((1 << BITS, 3))
+        labels = np.zeros(2)
+        for batch in batches:
+            for label, row in zip(batch["y"], batch["x"]):
+                names, values = unpacked(row)
+                sums[names, label] += values
+                sums[names, 2] += 1
+                labels[label] += 1
+        seen = np.flatnonzero(sums[:, 2])
+        yield pd.DataFrame({"bucket": np.r_[-1, seen], "zero": np.r_[labels[0], sums[seen, 0]], "one": np.r_[labels[1], sums[seen, 1]], "docs": np.r_[LEAST_DOCS, sums[seen, 2]]})
+
+    counts = rows.select("y", "x").mapInPandas(count, "bucket long, zero double, one double, docs double")
+    found = counts.groupBy("bucket").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), F.sum("docs").alias("docs"))
+    found = found.where(F.col("docs") >= LEAST_DOCS).toPandas()
+    ratio = np.zeros(1 << BITS)
+    of_class = found[found["bucket"] < 0]
+    zeros, ones = of_class["zero"].sum(), of_class["one"].sum()
+    found = found[found["bucket"] >= 0]
+    value = np.log((found["one"] + SMOOTH) / (ones + 2 * SMOOTH)) - np.log((found["zero"] + SMOOTH) / (zeros + 2 * SMOOTH))
+    ratio[found["bucket"]] = np.where(np.abs(value) < LEAST_RATIO, 0, value)
+    return ratio
+
+
+def scaled(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """The sample with its features times their ratios, those without one left out."""
+    sent = rows.sparkSession.sparkContext.broadcast(ratio)
+
+    def scale(batches):
+        for batch in batches:
+            batch["x"] = [_scaled(row, sent.value) for row in batch["x"]]
+            yield batch
+
+    return rows.mapInPandas(scale, rows.schema)
+
+
+def _scaled(row: bytes, ratio: np.ndarray) -> bytes:
+    names, values = unpacked(row)
+    use = ratio[names] != 0
+    return names[use].tobytes() + (ratio[names[use]] * values[use]).astype("<f4").tobytes()
+
+
+def fit(rows: list[bytes], y: np.ndarray, share: float, ratio: np.ndarray) -> Model:
+    """Logistic regression on scaled features.
 
     Regularised-leader steps with an L1 term leave weights only where many documents agree.  With one class or
     none to learn from the score is the share of label 1 for every text.
     """
     if len(y) == 0 or y.min() == y.max():
         return Model(float(np.log((share + 1e-3) / (1 - share + 1e-3))), np.zeros(1 << BITS))
-    counts, docs = np.zeros((2, 1 << BITS)), np.zeros(1 << BITS)
-    for row, label in zip(rows, y):
-        names, values = unpacked(row)
-        counts[label, names] += values
-        docs[names] += 1
-    ratio = np.log((counts[1] + SMOOTH) / (y.sum() + 2 * SMOOTH)) - np.log((counts[0] + SMOOTH) / (len(y) - y.sum() + 2 * SMOOTH))
-    ratio[(docs < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0
-    kept = []
-    for row in rows:
-        names, values = unpacked(row)
-        use = ratio[names] != 0
-        kept.append((names[use], ratio[names[use]] * values[use]))
-
     lead, squares, intercept, of_intercept = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 1.0
 
     def weights(z, n):
         return np.where(np.abs(z) <= SPARSE, 0.0, (np.sign(z) * SPARSE - z) * STEP / (1 + np.sqrt(n)))
 
+    kept = [unpacked(row) for row in rows]
     order = np.random.default_rng(17)
     for _ in range(EPOCHS):
         for i in order.permutation(len(y)):
-            names, scaled = kept[i]
+            names, values = kept[i]
             z, n = lead[names], squares[names]
             w = weights(z, n)
-            error = labelled.logistic(intercept + w @ scaled) - y[i]
-            slope = error * scaled
+            error = labelled.logistic(intercept + w @ values) - y[i]
+            slope = error * values
             lead[names] = z + slope - (np.sqrt(n + slope**2) - np.sqrt(n)) / STEP * w
             squares[names] = n + slope**2
             of_intercept += error**2
@@ -115,7 +151,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = M
     empty; an empty text has the intercept's score; texts are read whole; repeated rows score alike.
     """
     rows, share = labelled.sample(docs, labels, "toxic", most, packed)
-    return labelled.scored(docs, fit(list(rows["x"]), rows["y"].to_numpy(int), share), name)
+    ratio = log_count_ratios(rows)
+    return labelled.scored(docs, fit(*labelled.collected(scaled(rows, ratio)), share, ratio), name)
 
 
 @query
