@@ -108,9 +108,18 @@ def leak_lines(tables: Tables, rule: LeakRule = LeakRule()) -> DataFrame:
 
     A recurring leak needs to know the other projects' lines, so the measured closeout
     lines (one small row per SOV line) are written once and read twice, instead of
-    running the weekly facts again.
+    running the weekly facts again.  Eager.
     """
-    lines = materialise(_with_sov_description(tables, _measured_lines(tables)), "closeout-lines")
+    return classified(measured_lines(tables), rule)
+
+
+def measured_lines(tables: Tables) -> DataFrame:
+    """The closeout lines with their measures, written once (eager)."""
+    return materialise(_with_sov_description(tables, _measured_lines(tables)), "closeout-lines")
+
+
+def classified(lines: DataFrame, rule: LeakRule = LeakRule()) -> DataFrame:
+    """The measured lines with their leak class: a projection but for the recurring kinds."""
     text = F.lower(F.coalesce("sov_description", F.lit("")))
     is_controls = text.contains(rule.controls_words[0])
     for word in rule.controls_words[1:]:
@@ -137,7 +146,10 @@ def leak_lines(tables: Tables, rule: LeakRule = LeakRule()) -> DataFrame:
         .when(early, RECOVERED)
         .otherwise(ON_TRACK)
     )
-    return lines.join(recurring, ["kind", "sov_description"], "left").select(
+    # Most lines have no kind; only the others meet the recurring ones.
+    of_kind = lines.where(F.col("kind").isNotNull()).join(recurring, ["kind", "sov_description"], "left")
+    every = of_kind.unionByName(lines.where(F.col("kind").isNull()).withColumn("recurs", F.lit(None).cast("boolean")))
+    return every.select(
         "project_id", "sov_line_id", "description", archetype.alias("archetype"),
         "var_labor_scaled", "var_total_scaled", "labor_overrun_norm", "ot_ratio_td", "labor_bm_cost_norm",
     )
@@ -157,10 +169,11 @@ def top_leaks(tables: Tables, limit: int = TOP_LEAKS, rule: LeakRule = LeakRule(
 def leak_archetypes(tables: Tables, rule: LeakRule = LeakRule()) -> DataFrame:
     """Per class: lines, projects, summed variances and the median early burn.
 
-    The few classes hold all lines of the portfolio, so the median is taken with the
-    bracketed method instead of gathering a class in one task.
+    The few classes hold all lines of the portfolio, so the median is taken by counting
+    buckets instead of gathering a class in one task.  Classes are computed anew for each
+    use from the measured lines, which are written once.
     """
-    lines = materialise(leak_lines(tables, rule), "leak-lines")
+    lines = leak_lines(tables, rule)
     # Summed as decimals, so the totals do not depend on row order.
     exact = [F.sum(F.col(c).cast("decimal(28,10)")) for c in ("var_labor_scaled", "var_total_scaled")]
     totals = lines.groupBy("archetype").agg(

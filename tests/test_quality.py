@@ -40,4 +40,8 @@ def test_business_rules(spark):
     assert by(quality.dq_billing_cap(tables), "project_id")["P1"]["lines_over"] == 1
     cumulative = by(quality.dq_billing_cumulative(tables), "project_id")
     assert (cumulative["P1"]["mismatches"], cumulative["P2"]["mismatches"]) == (1, 0)
-    assert by(quality.dq_cost_code(tables), "project_id")["P1"]["wrong_rows"] == 1
+    codes = by(quality.dq_cost_code(tables), "project_id")["P1"]
+    assert (codes["wrong_rows"], codes["unknown_line_rows"]) == (1, 0)
+    fewer = {**tables, "sov": tables["sov"].where("sov_line_id <> 'P1-1'")}
+    unknown = by(quality.dq_cost_code(fewer), "project_id")["P1"]
+    assert unknown["labor_rows"] == codes["labor_rows"] and unknown["unknown_line_rows"] > 0
