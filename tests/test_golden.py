@@ -70,10 +70,8 @@ def test_change_orders_by_status(spark):
 
 
 def test_change_orders_by_reason(spark):
-    found = {}
-    for row in changes.co_reason_summary(change_orders(spark, REASONS, "reason_category")).collect():
-        numbers = [v for k, v in row.asDict().items() if k != "reason_category"]
-        found[row.reason_category] = (int(numbers[0]), round(float(numbers[1])))
+    rows = changes.co_reason_summary(change_orders(spark, REASONS, "reason_category")).collect()
+    found = {row.reason: (int(row["co_count"]), round(float(row["total_amount"]))) for row in rows}
     assert found == REASONS
 
 
