@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from jobmargin.catalog import QUERIES
+from oracle.queries import STATEMENTS
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
-STATEMENTS = entry_points.oracle_sql()
 
 
 def canonical(columns, rows):
@@ -20,6 +20,8 @@ def canonical(columns, rows):
 
 def test_every_query_has_a_statement():
     assert set(QUERIES) == set(STATEMENTS)
+    registered = set(entry_points.queries())
+    assert set(QUERIES) <= registered and set(entry_points.oracle_sql()) <= registered
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
