@@ -35,8 +35,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+USUAL, SMALL = "67108864b", "8388608b"  # of what goes to a Python worker at a time: Spark's setting, and ours
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started."""
+    """Let Python workers import this package wherever the driver was started, and get texts in small batches unless the session says how large."""
+    if spark.conf.get(BATCH, None) == USUAL:
+        spark.conf.set(BATCH, SMALL)
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
