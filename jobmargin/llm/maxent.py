@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -111,14 +112,15 @@ class Reader:
 
     def read(self, text: str):
         words = tokens(text)
-        at = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
+        at = np.array(list(map(self.place.get, words, repeat(-1))), np.int64)
         rare = np.flatnonzero(at < 0)
         if len(self.classes):
             classes, hashes = self.classes[at], self.hashes[at]
         else:
             classes, hashes = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint64)
-        for i in rare:
-            classes[i], hashes[i] = word_class(words[i], self.single), zlib.crc32(words[i])
+        others = [words[i] for i in rare.tolist()]
+        classes[rare] = [word_class(w, self.single) for w in others]
+        hashes[rare] = np.array(list(map(zlib.crc32, others)), np.uint64)
         return words, at, rare, classes, contexts(hashes)
 
 
@@ -133,25 +135,36 @@ def contexts(hashes: np.ndarray) -> np.ndarray:
 
 def class_log_odds(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
     """Log probabilities of all classes, a row for each token: the sum of its features' rows, normalised."""
+    z = _scores(weights, bias, features)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z
+
+
+def _scores(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Sums of the features' rows, the greatest of each token at zero."""
     z = weights[features[:, 0]] + bias
     for k in range(1, features.shape[1]):
         z += weights[features[:, k]]
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
 def descend(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, bias, features: np.ndarray, classes: np.ndarray) -> None:
     """One adaptive gradient step on the log probability of the classes of some tokens, in place."""
-    error = np.exp(class_log_odds(weights, bias, features))
+    error = np.exp(_scores(weights, bias, features))
+    error /= error.sum(1, keepdims=True)
     error[np.arange(len(classes)), classes] -= 1
-    for k in range(features.shape[1]):
-        order = np.argsort(features[:, k])
-        rows, starts, n = np.unique(features[order, k], return_index=True, return_counts=True)
-        slope = np.add.reduceat(error[order], starts)
-        squares[rows] += slope**2
-        weights[rows] -= STEP * slope / np.sqrt(squares[rows])
-        seen[rows] += n
+    flat = features.ravel().astype(np.uint16)  # ROWS fit, and numpy sorts such numbers in linear time
+    order = np.argsort(flat, kind="stable")
+    own = flat[order]
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    rows, slope = own[starts], np.add.reduceat(error[order // features.shape[1]], starts)
+    of_rows = squares[rows] + slope * slope
+    squares[rows] = of_rows
+    slope *= np.float32(STEP)
+    slope /= np.sqrt(of_rows)
+    weights[rows] -= slope
+    seen[rows] += np.diff(np.r_[starts, len(own)])
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
