@@ -154,17 +154,17 @@ def descend(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, bias, fe
     error = np.exp(_scores(weights, bias, features))
     error /= error.sum(1, keepdims=True)
     error[np.arange(len(classes)), classes] -= 1
-    flat = features.ravel().astype(np.uint16)  # ROWS fit, and numpy sorts such numbers in linear time
-    order = np.argsort(flat, kind="stable")
-    own = flat[order]
-    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    rows, slope = own[starts], np.add.reduceat(error[order // features.shape[1]], starts)
+    n = np.bincount(features.ravel(), minlength=ROWS)
+    rows = np.flatnonzero(n)
+    at = (np.cumsum(n > 0) - 1)[features.T.ravel()]
+    by_class = np.ascontiguousarray(error.T, np.float64)
+    slope = np.stack([np.bincount(at, np.tile(own, features.shape[1]), len(rows)) for own in by_class], 1).astype(np.float32)
     of_rows = squares[rows] + slope * slope
     squares[rows] = of_rows
     slope *= np.float32(STEP)
     slope /= np.sqrt(of_rows)
     weights[rows] -= slope
-    seen[rows] += np.diff(np.r_[starts, len(own)])
+    seen[rows] += n[rows]
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
