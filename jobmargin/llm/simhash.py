@@ -227,15 +227,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = BIT
     return marked.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = BITS) -> DataFrame:
-    """One row of `docs` for each group of near-duplicates, with its columns: the one with the least doc_id (nulls last; ties by text hash)."""
-    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc"), F.col("key").alias("key"))
-    chosen = near_duplicates(docs, shingle, max_bits).groupBy("root").agg(F.min(place).alias("row")).select(F.col("row.doc").alias("_doc"), F.col("row.key").alias("_key"))
-    keyed = docs.withColumn("_own", F.xxhash64(whole_text()))
-    same = keyed["doc_id"].eqNullSafe(chosen["_doc"]) & (F.col("_own") == F.col("_key"))
-    return keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
-
-
 @query
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"))
