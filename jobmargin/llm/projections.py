@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobmargin.llm.common import query, stored, table
@@ -12,7 +12,8 @@ from jobmargin.llm.components import components, spanning
 from jobmargin.llm.pivots import usable
 
 COSINE = 0.93
-PASSES = 12              # orders of the vectors, each by hashes of its own
+PASSES = 12              # orders of the vectors, each by hashes of its own; at least, see `passes_for`
+MISSED = 0.001           # share of the pairs just at the threshold that may stay outside every window
 HASHES = 48              # random hyperplanes of a pass; their signs, concatenated, are the sort key
 WINDOW = 24              # neighbours that a vector is compared with in each order
 BLOCK = 2048             # vectors of one order compared in one group, beside WINDOW more
@@ -39,8 +40,20 @@ def distinct_vectors(vectors: DataFrame) -> DataFrame:
     return valid.groupBy("grp", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
 
 
+def passes_for(n: Column, cosine: float, least: int, window: int) -> Column:
+    """Orders that a group of n vectors needs for all but MISSED of its pairs at the threshold to come within the window in one of them.
+
+    One hash separates such a pair with probability angle / pi.  Vectors that agree in the first
+    log2(n / window) hashes of an order are about a window, so a pair stands in it if none of those separates it.
+    """
+    together = F.pow(F.lit(1 - np.arccos(cosine) / np.pi), F.log2(F.greatest(n / window, F.lit(1.0))))
+    return F.greatest(F.lit(least), F.when(together < 1, F.ceil(np.log(MISSED) / F.log1p(-together))).otherwise(least)).cast("int")
+
+
 def projection_links(points: DataFrame, cosine: float, passes: int, window: int, seed: int = 11) -> DataFrame:
-    """Verified links (a, b), enough of each block to join what they join, between neighbours in `passes` orders of points (grp, rep, vector) (eager).
+    """Verified links (a, b), enough of each block to join what they join, between neighbours in orders of points (grp, rep, vector) (eager).
+
+    A group has `passes` orders, or more by its measured size (`passes_for`), so that recall does not fall as it grows.
 
     Each pass hashes every vector by the signs of its own random projections and sorts by group and
     the concatenated hashes.  The sort is a range partition whose key ends in the unique id, so
@@ -50,14 +63,15 @@ def projection_links(points: DataFrame, cosine: float, passes: int, window: int,
     def hashed(batches):
         weights = 1 << np.arange(HASHES - 1, -1, -1, dtype=np.int64)
         for batch in batches:
-            for _, own in batch.groupby(batch["vector"].str.len()):
+            for (_, n), own in batch.groupby([batch["vector"].str.len(), batch["passes"]]):
                 unit = _unit(own["vector"])
-                signs = (unit @ _planes(passes, HASHES, unit.shape[1], seed) > 0).reshape(len(own), passes, HASHES)
-                codes = (signs * weights).sum(2)
-                for p in range(passes):
-                    yield own.assign(pass_no=p, code=codes[:, p])[["pass_no", "grp_key", "code", "rep", "vector"]]
+                planes = _planes(n, HASHES, unit.shape[1], seed)
+                for p in range(n):
+                    codes = (unit @ planes[:, p * HASHES:(p + 1) * HASHES] > 0) @ weights
+                    yield own.assign(pass_no=p, code=codes)[["pass_no", "grp_key", "code", "rep", "vector"]]
 
-    keyed = points.select(F.to_json("grp").alias("grp_key"), "rep", "vector")
+    sizes = points.groupBy("grp").agg(passes_for(F.count("*"), cosine, passes, window).alias("passes"))
+    keyed = points.join(sizes, "grp").select(F.to_json("grp").alias("grp_key"), "rep", "vector", "passes")
     codes = keyed.mapInPandas(hashed, "pass_no int, grp_key string, code long, rep long, vector array<double>")
     order = ["pass_no", "grp_key", "code", "rep"]
     ordered = codes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
@@ -140,10 +154,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, passes: int = PA
     """vec_id, n_links, component_id, kept for every row of `vectors` (vec_id, embedding, label) (eager).
 
     Only equal, non-null labels and equal lengths are compared.  Equal vectors are one point, so
-    copies need no window and are always linked.  The passes find links between different vectors;
-    pairs that stay more than `window` apart in every order are missed as links that join
-    components (recall is measured in the tests), but inside a component each row's links
-    are counted over the whole component.  Rows whose vector is null, empty, zero or not finite or whose
+    copies need no window and are always linked.  The passes, at least `passes` and more for large labels, find
+    links between different vectors; pairs that stay more than `window` apart in every order, about
+    MISSED of those just at the threshold, are missed as links that join components, but inside a
+    component each row's links are counted over the whole component.  Rows whose vector is null, empty, zero or not finite or whose
     label is null link with nothing; a null vec_id too, as its own null component.
     """
     rows = vectors.select("vec_id", "label", "embedding")

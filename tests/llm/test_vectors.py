@@ -85,3 +85,19 @@ def test_near_duplicates(spark, monkeypatch):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert got[799 - 20].component_id == got[700].component_id and all(r.kept == (r.vec_id == r.component_id) for r in got.values() if r.vec_id)
     assert projections.near_duplicates(frame(spark, rows[:1]).limit(0)).count() == 0
+
+
+def test_recall_in_a_large_label(spark):
+    """Pairs at the threshold among 20,000 vectors of one label, where 12 passes miss about one in fifty."""
+    rng = np.random.default_rng(6)
+    first = rng.normal(size=(10000, 32))
+    first /= np.linalg.norm(first, axis=1, keepdims=True)
+    side = rng.normal(size=first.shape)
+    side -= (side * first).sum(1, keepdims=True) * first
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    near = 0.9301 * first + np.sqrt(1 - 0.9301**2) * side
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.r_[first, near])] + [(30000 + i, v.tolist(), 2) for i, v in enumerate(first[:50])]
+    got = projections.near_duplicates(frame(spark, rows).repartition(4))
+    found = {r.vec_id: r.component_id for r in got.collect()}
+    assert sum(found[i + 10000] == i for i in range(10000)) >= 9970
+    assert all(found[30000 + i] == 30000 + i for i in range(50))
