@@ -296,11 +296,10 @@ BILL_COLUMNS = f"""project_id, {i('application_number')} AS application_number,
 LAG = f"""{d('cost')} AS actual_cost, {d('billed')} AS billed, {d('cost - billed')} AS lag,
     {r(share('cost - billed', 'billed'))} AS lag_pct"""
 
+DELTA = f"CASE WHEN value <> 0 AND billed <> 0 THEN {d('billed - cost')} / {d('billed')} - {d('value - bid')} / {d('value')} ELSE 0.0 END"
 PROJECT_MARGINS = f"""SELECT project_id, project_name, {d('value')} AS contract_value, {d('bid')} AS bid_cost,
     {r(share('value - bid', 'value'))} AS bid_margin, {d('cost')} AS actual_cost, {d('billed')} AS billed,
-    {r(share('billed - cost', 'billed'))} AS realized_margin,
-    {r(f"CASE WHEN value <> 0 AND billed <> 0 THEN {d('billed - cost')} / {d('billed')} - {d('value - bid')} / {d('value')} ELSE 0.0 END")}
-        AS margin_delta FROM p_all"""
+    {r(share('billed - cost', 'billed'))} AS realized_margin, {r(DELTA)} AS margin_delta FROM p_all"""
 HELPERS["margins"] = PROJECT_MARGINS
 
 
@@ -481,8 +480,8 @@ BODIES: dict[str, str] = {
         {d('cost')} AS actual_cost, {d('labor')} AS actual_labor_cost, {d('material')} AS actual_material_cost,
         {d('billed')} AS billed, {r(share('billed - cost', 'billed'))} AS realized_margin, {d('bid - cost')} AS variance
         FROM l_all l JOIN (SELECT sov_line_id, {BID} AS bid FROM sov_budget) b ON b.sov_line_id = l.sov_line_id""",
-    "margin_rank": """SELECT rank() OVER (ORDER BY margin_delta) AS margin_rank, project_id, project_name, bid_margin,
-        realized_margin, margin_delta FROM margins""",
+    "margin_rank": f"""SELECT margin_rank, project_id, project_name, bid_margin, realized_margin, margin_delta
+        FROM margins JOIN (SELECT project_id, rank() OVER (ORDER BY {DELTA}) AS margin_rank FROM p_all) USING (project_id)""",
     "labor_cost_by_sov_line": f"SELECT sov_line_id, {d(f'sum({COST})')} AS labor_cost FROM labor_logs GROUP BY 1",
     "billing_lag_by_project": f"SELECT project_id, project_name, {LAG} FROM p_all",
     "billing_lag_by_sov_line": f"""SELECT project_id, sov_line_id, {i('line_number')} AS line_number, description,
