@@ -16,7 +16,7 @@ from jobmargin.operators import (
 from jobmargin.plans import earned_value as ev
 from jobmargin.plans import latest, leaks, ledger
 from jobmargin.session import materialise, shared_folder
-from jobmargin.sources import junction, readers, writers
+from jobmargin.sources import junction, note_index, readers, writers
 from jobmargin.sources.bridge import BridgeTables, bridge
 from jobmargin.sources.schemas import FILE_TABLES, TABLES
 from jobmargin.streaming import labor as stream_labor
@@ -30,6 +30,7 @@ SEARCH = "rewh"
 NOTE_TYPE = "Issue Log"
 WORDS = ("the", "rewh")
 CAUSES = ("rewh", "ononst")
+ADDED_FROM = "1999-07-01"   # notes from here on are added to the index afterwards
 SQL = """SELECT c.gc_name, SUM(m.total_cost) AS total_cost FROM material_deliveries m
     JOIN contracts c ON c.project_id = m.project_id GROUP BY c.gc_name;"""
 
@@ -259,6 +260,31 @@ def select_sql(spark: SparkSession, folder: str) -> DataFrame:
     return portable(adhoc.select_sql(spark, bridge(spark, folder), SQL))
 
 
+# --- note index --------------------------------------------------------------------------
+
+def _note_index(spark: SparkSession, notes_table: DataFrame) -> str:
+    """An index of all notes: those up to a date, then the later ones added."""
+    path = shared_folder(spark, "note-index")
+    early = F.col("date") < ADDED_FROM
+    note_index.write_note_index(notes_table.where(early), path)
+    note_index.add_notes(notes_table.where(~early), path)
+    return path
+
+
+def field_notes_token_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes with all WORDS, found through a written index."""
+    tables = bridge(spark, folder)
+    index = _note_index(spark, tables["field_notes"])
+    return portable(notes.field_notes_token_search(tables, WORDS, index))
+
+
+def field_note_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many notes hold each token, from the posting lists of a compacted index."""
+    index = _note_index(spark, bridge(spark, folder)["field_notes"])
+    note_index.compact(spark, index)
+    return portable(note_index.token_counts(spark, index))
+
+
 # --- streams -----------------------------------------------------------------------------
 
 def stream_labor_week(spark: SparkSession, folder: str) -> DataFrame:
@@ -302,7 +328,8 @@ QUERIES: dict[str, Query] = {
     "project_filter": over_tables(portfolio.project_filter, project_id=PROJECT),
     "field_notes_search": over_tables(notes.field_notes_search, search=SEARCH, note_type=NOTE_TYPE),
     "field_notes_recent": over_tables(notes.field_notes_recent),
-    "field_notes_token_search": over_tables(notes.field_notes_token_search, words=WORDS),
+    "field_notes_token_search": field_notes_token_search,
+    "field_note_token_counts": field_note_token_counts,
     "field_note_tokens": over_tables(notes.field_note_tokens),
     "select_sql": select_sql,
     # portfolio and projects

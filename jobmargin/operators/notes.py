@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobmargin.functions.text import contains_pattern, tokens
 from jobmargin.operators.portfolio import for_project
+from jobmargin.sources import note_index
 
 Tables = Mapping[str, DataFrame]
 
@@ -59,15 +60,19 @@ def field_note_tokens(tables: Tables) -> DataFrame:
     return tables["field_notes"].select("note_id", F.explode(tokens("content")).alias("token"))
 
 
-def field_notes_token_search(tables: Tables, words: Iterable[str]) -> DataFrame:
+def field_notes_token_search(tables: Tables, words: Iterable[str], index: str | None = None) -> DataFrame:
     """Notes that contain every given word as a whole token; no stemming.
 
-    Matching uses each note's own token array, so nothing is exploded or shuffled
-    before the filter.
+    With an index (`sources.note_index`) only its posting lists of the words and the notes found are
+    read.  Without one, every note's own token array is searched; nothing is exploded or
+    shuffled before the filter.
     """
     wanted = sorted({w.lower() for w in words})
     if not wanted:
         raise ValueError("Give at least one word.")
-    found = F.array_intersect(tokens("content"), F.array(*[F.lit(w) for w in wanted]))
-    notes = tables["field_notes"].where(F.size(found) == len(wanted))
+    if index:
+        notes = note_index.search(tables["contracts"].sparkSession, index, wanted)
+    else:
+        found = F.array_intersect(tokens("content"), F.array(*[F.lit(w) for w in wanted]))
+        notes = tables["field_notes"].where(F.size(found) == len(wanted))
     return _with_project_name(tables, notes).orderBy(F.desc("date"), "note_id")

@@ -416,6 +416,8 @@ BODIES: dict[str, str] = {
         + " AND ".join(f"list_contains({WORDS_OF}, '{w}')" for w in WORDS),
     "field_note_tokens": f"""SELECT DISTINCT note_id, token
         FROM (SELECT note_id, unnest({WORDS_OF}) AS token FROM field_notes) WHERE token <> ''""",
+    "field_note_token_counts": f"""SELECT token, count(DISTINCT note_id) AS n_notes
+        FROM (SELECT note_id, unnest({WORDS_OF}) AS token FROM field_notes) WHERE token <> '' GROUP BY 1""",
     "select_sql": f"""SELECT gc_name, {d('sum(total_cost)')} AS total_cost
         FROM material_deliveries JOIN contracts USING (project_id) GROUP BY 1""",
     "portfolio_overview": f"""SELECT {d('value')} AS total_contract_value, {d('bid')} AS total_bid_cost,
