@@ -11,19 +11,21 @@ tokens can only meet in a block that all of them have.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from math import ceil, log2
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobmargin.functions.text import tokens
 
 BUCKETS = 64           # folders that tokens are hashed to
 SEGMENTS = 6           # leading bits of a block that make the folder of its notes
 BLOCK = 4096           # notes of a block, on average
-COMMITS = "bits int, first int, n_notes bigint, generation int"
+COMMITS = "bits int, first int, n_notes bigint, columns string, generation int"
 POSTINGS = "token string, block bigint, notes array<string>, generation int, bucket int"
 
 
@@ -41,23 +43,34 @@ def _commits(spark: SparkSession, path: str) -> list:
         return []
 
 
-def live_generations(spark: SparkSession, path: str) -> list[int]:
-    """Committed generations that no compaction has replaced."""
+def _live(spark: SparkSession, path: str) -> list:
+    """The commits of generations that no compaction has replaced, in order."""
     commits = _commits(spark, path)
     if not commits:
         raise ValueError(f"No note index at {path}.")
     first = max(row.first for row in commits)
-    return sorted(row.generation for row in commits if row.generation >= first)
+    return sorted((row for row in commits if row.generation >= first), key=lambda row: row.generation)
+
+
+def live_generations(spark: SparkSession, path: str) -> list[int]:
+    return [row.generation for row in _live(spark, path)]
+
+
+def _read_notes(spark: SparkSession, path: str) -> DataFrame:
+    live = _live(spark, path)
+    places = "block bigint, generation int, segment int"
+    schema = T.StructType([*T.StructType.fromJson(json.loads(live[0].columns)), *T.StructType.fromDDL(places)])
+    return spark.read.schema(schema).parquet(f"{path}/notes").where(F.col("generation").isin([row.generation for row in live]))
 
 
-def _read(spark: SparkSession, path: str, part: str, schema=None) -> DataFrame:
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(f"{path}/{part}").where(F.col("generation").isin(live_generations(spark, path)))
+def _read_postings(spark: SparkSession, path: str) -> DataFrame:
+    live = live_generations(spark, path)
+    return spark.read.schema(POSTINGS).parquet(f"{path}/postings").where(F.col("generation").isin(live))
 
 
 def indexed_notes(spark: SparkSession, path: str) -> DataFrame:
     """The notes that the index holds."""
-    return _read(spark, path, "notes").drop("block", "generation", "segment")
+    return _read_notes(spark, path).drop("block", "generation", "segment")
 
 
 def _write_generation(notes: DataFrame, path: str, generation: int, first: int, block: int) -> None:
@@ -76,12 +89,14 @@ def _write_generation(notes: DataFrame, path: str, generation: int, first: int,
     segment = F.shiftright("block", max(0, bits - SEGMENTS)).cast("int")
     stored = keyed.withColumn("segment", segment).repartitionByRange("block", "note_id").sortWithinPartitions("block", "note_id")
     stored.write.mode("overwrite").partitionBy("segment").parquet(f"{path}/notes/generation={generation}")
-    row = spark.range(1).select(F.lit(bits).alias("bits"), F.lit(first).alias("first"), F.lit(n_notes).cast("bigint").alias("n_notes"))
+    row = spark.range(1).select(
+        F.lit(bits).alias("bits"), F.lit(first).alias("first"), F.lit(n_notes).cast("bigint").alias("n_notes"),
+        F.lit(notes.schema.json()).alias("columns"))
     row.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/generation={generation}")
 
 
 def write_note_index(notes: DataFrame, path: str, block: int = BLOCK) -> None:
-    """A new index of `notes` (note_id, content and any other columns); notes without id are left out.
+    """A new index of `notes` (note_id, content and any other columns, the same in later additions); notes without id are left out.
 
     An interrupted writing leaves nothing that counts and may be run again.
     """
@@ -91,7 +106,7 @@ def write_note_index(notes: DataFrame, path: str, block: int = BLOCK) -> None:
 def add_notes(notes: DataFrame, path: str, block: int = BLOCK) -> None:
     """Add notes as a generation of their own; ids that the index has stay as they are, so adding twice changes nothing."""
     spark = notes.sparkSession
-    known = _read(spark, path, "notes").select("note_id")
+    known = _read_notes(spark, path).select("note_id")
     last = max(row.generation for row in _commits(spark, path))
     first = live_generations(spark, path)[0]
     fresh = notes.join(known, "note_id", "left_anti").select(*notes.columns)
@@ -108,7 +123,7 @@ def postings(spark: SparkSession, path: str, words: Iterable[str]) -> DataFrame:
     """Posting lists of the given tokens, from the folders of their buckets alone."""
     wanted = sorted(set(words))
     buckets = F.col("bucket").isin([_bucket(F.lit(w)) for w in wanted])   # constants, so folders are chosen before reading
-    return _read(spark, path, "postings", POSTINGS).where(buckets & F.col("token").isin(wanted))
+    return _read_postings(spark, path).where(buckets & F.col("token").isin(wanted))
 
 
 def matching_ids(spark: SparkSession, path: str, words: Iterable[str]) -> DataFrame:
@@ -131,10 +146,10 @@ def matching_ids(spark: SparkSession, path: str, words: Iterable[str]) -> DataFr
 def search(spark: SparkSession, path: str, words: Iterable[str]) -> DataFrame:
     """The indexed notes that hold every token, all columns."""
     found = matching_ids(spark, path, words)
-    return _read(spark, path, "notes").join(found, ["generation", "block", "note_id"]).drop("block", "generation", "segment")
+    return _read_notes(spark, path).join(found, ["generation", "block", "note_id"]).drop("block", "generation", "segment")
 
 
 def token_counts(spark: SparkSession, path: str) -> DataFrame:
     """(token, n_notes) of the whole index."""
-    lists = _read(spark, path, "postings", POSTINGS)
+    lists = _read_postings(spark, path)
     return lists.groupBy("token").agg(F.sum(F.size("notes").cast("bigint")).alias("n_notes"))
