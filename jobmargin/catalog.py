@@ -20,6 +20,7 @@ from jobmargin.sources import junction, note_index, readers, writers
 from jobmargin.sources.bridge import BridgeTables, bridge
 from jobmargin.sources.schemas import FILE_TABLES, TABLES
 from jobmargin.streaming import labor as stream_labor
+from jobmargin.streaming import overruns as stream_overruns
 from jobmargin.streaming.runner import result_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,14 +293,26 @@ def stream_labor_week(spark: SparkSession, folder: str) -> DataFrame:
     return portable(result_of(weekly, ev.LINE_WEEK, "stream-labor-week"))
 
 
-def stream_overrun_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    entries = stream_labor.labor_stream(spark, folder)
+def _stored_budget(spark: SparkSession, folder: str) -> DataFrame:
     budget = bridge(spark, folder)["sov_budget"].groupBy("project_id").agg(
         F.sum("estimated_labor_cost").alias("estimated_labor_cost"))
-    running = stream_labor.stream_overrun_alerts(entries, materialise(budget, "stream-budget"))
+    return materialise(budget, "stream-budget")
+
+
+def stream_overrun_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    entries = stream_labor.labor_stream(spark, folder)
+    running = stream_labor.stream_overrun_alerts(entries, _stored_budget(spark, folder))
     return portable(result_of(running, ["project_id"], "stream-overruns").where("open").drop("open"))
 
 
+def stream_overrun_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Projects whose last event is an opening."""
+    entries = stream_labor.labor_stream(spark, folder)
+    events = stream_overruns.stream_overrun_events(entries, _stored_budget(spark, folder))
+    last = result_of(events, ["project_id"], "overrun-events")
+    return portable(last.where("event = 'opened'").select("project_id", "event", "reason", "budget_labor_cost"))
+
+
 QUERIES: dict[str, Query] = {
     # sources, sinks, normalisation
     "load_tables": load_tables,
@@ -411,6 +424,7 @@ QUERIES: dict[str, Query] = {
     # streams
     "stream_labor_week": stream_labor_week,
     "stream_overrun_alerts": stream_overrun_alerts,
+    "stream_overrun_events": stream_overrun_events,
     # data quality
     "dq_primary_key": over_tables(quality.dq_primary_key),
     "dq_foreign_key": over_tables(quality.dq_foreign_key),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,10 +55,23 @@ def _scratch(spark: SparkSession) -> str:
 
 def remove_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder; frames that read it end with it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    delete_path(spark, _scratch(spark))
+
+
+def delete_path(spark: SparkSession, name: str) -> None:
+    """Delete a folder of whatever file system its name belongs to; a missing one is no error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def send_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write a small derived table to the shared folder once and read it back.
 

@@ -7,7 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobmargin.session import shared_folder
+from jobmargin.session import DEFAULTS, shared_folder
+from jobmargin.streaming.store import KeyedStore
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -38,9 +41,31 @@ def latest_state(updates: DataFrame, keys: Iterable[str]) -> DataFrame:
     )
 
 
-def result_of(stream: DataFrame, keys: Iterable[str], purpose: str) -> DataFrame:
-    """Run a stream to the end of the available input and return its final rows."""
+def follow(stream: DataFrame, store: KeyedStore, checkpoint: str) -> None:
+    """Keep a table up to date with a stream's changed rows until it has caught up.
+
+    State is kept in RocksDB, which keyed processors need; the session's own setting is put back.
+    """
     spark = stream.sparkSession
-    path = shared_folder(spark, purpose)
-    run_updates(stream, f"{path}/rows", f"{path}/checkpoint")
-    return latest_state(spark.read.parquet(f"{path}/rows"), keys)
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, DEFAULTS[PROVIDER])
+    try:
+        query = (
+            stream.writeStream.outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(store.upsert)
+            .start()
+        )
+    finally:
+        spark.conf.set(PROVIDER, before)
+    query.awaitTermination()
+
+
+def result_of(stream: DataFrame, keys: Iterable[str], purpose: str) -> DataFrame:
+    """Run a stream to the end of the available input and return its final rows, one a key, merged on disk."""
+    path = shared_folder(stream.sparkSession, purpose)
+    store = KeyedStore(stream.sparkSession, f"{path}/rows", stream.schema, list(keys))
+    follow(stream, store, f"{path}/checkpoint")
+    store.compact()
+    return store.read()

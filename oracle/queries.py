@@ -613,6 +613,9 @@ BODIES: dict[str, str] = {
     "stream_overrun_alerts": f"""SELECT project_id, {d('labor')} AS actual_labor_cost,
         {d('coalesce(b_labor, 0)')} AS budget_labor_cost, {d('labor - coalesce(b_labor, 0)')} AS overrun
         FROM p_labor LEFT JOIN p_budget USING (project_id) WHERE labor > coalesce(b_labor, 0) * 1.1""",
+    "stream_overrun_events": f"""SELECT project_id, 'opened' AS event, 'labor' AS reason,
+        {d('coalesce(b_labor, 0)')} AS budget_labor_cost
+        FROM p_labor LEFT JOIN p_budget USING (project_id) WHERE labor > coalesce(b_labor, 0) * 1.1""",
     "dq_primary_key": union(primary_key(t) for t in TABLES),
     "dq_foreign_key": union(foreign_key(ref) for ref in REFERENCES),
     "dq_domain": union(domain(t, c, v) for (t, c), v in DOMAINS.items()),
