@@ -369,6 +369,7 @@ QUERIES: dict[str, Query] = {
     "billing_lag_by_project": over_tables(billing.billing_lag_by_project),
     "billing_lag_by_sov_line": over_tables(billing.billing_lag_by_sov_line),
     "billing_lag_total": over_tables(billing.billing_lag_total),
+    "labor_week_billing": over_tables(billing.labor_week_billing),
     # scope
     "scope_items": over_tables(scope.scope_items),
     "scope_summary": over_tables(scope.scope_summary),
@@ -384,6 +385,8 @@ QUERIES: dict[str, Query] = {
     "labor_overruns_flagged": over_tables(labor.labor_overruns_flagged),
     "labor_overrun_total": over_tables(labor.labor_overrun_total),
     "overrun_notes": over_tables(labor.overrun_notes, words=CAUSES),
+    "overrun_periods": over_tables(labor.overrun_periods),
+    "overrun_period_notes": over_tables(labor.overrun_period_notes, words=CAUSES),
     # change orders and RFIs
     "change_orders_list": over_tables(changes.change_orders_list),
     "co_status_summary": over_tables(changes.co_status_summary),

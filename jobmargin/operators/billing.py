@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobmargin.functions import measures as m
 from jobmargin.operators.portfolio import for_project
+from jobmargin.plans import earned_value as ev
 from jobmargin.plans import ledger
+from jobmargin.plans.intervals import as_of_join
 
 Tables = Mapping[str, DataFrame]
 
@@ -60,3 +62,25 @@ def billing_lag_total(tables: Tables, project_id: str | None = None) -> DataFram
         .groupBy("project_id")
         .agg(m.dbl(F.sum(lag)).alias("total_billing_lag"))
     )
+
+
+def labor_week_billing(tables: Tables) -> DataFrame:
+    """Each week's labor of a line with the line's pay application in force at its end.
+
+    `unbilled` is the labor cost to date less what that application had billed.  Weeks before the line's first
+    application have none; applications without a billing period never come into force.
+    """
+    running = Window.partitionBy(*ev.LINE).orderBy("week_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    weeks = ev.labor_week_uncut(tables).select(*ev.LINE_WEEK, "labor_hours_w", "labor_cost_w")
+    periods = tables["billing_history"].select("project_id", "application_number", "period_end")
+    billed = tables["billing_line_items"].select(*ev.LINE, "application_number", "pct_complete", "total_billed")
+    applications = billed.join(periods, ["project_id", "application_number"])
+    met = as_of_join(weeks, applications, ev.LINE, "week_end", "period_end", "application_number")
+    to_date = met.withColumn("labor_cost_td", F.sum("labor_cost_w").over(running))
+    return to_date.select(
+        *ev.LINE_WEEK, m.dbl("labor_hours_w").alias("labor_hours_w"), m.dbl("labor_cost_w").alias("labor_cost_w"),
+        m.dbl("labor_cost_td").alias("labor_cost_td"), F.col("application_number").cast("bigint").alias("application_number"),
+        "period_end", F.date_diff("week_end", "period_end").cast("bigint").alias("days_since"),
+        m.dbl("pct_complete").alias("pct_complete"), m.dbl("total_billed").alias("total_billed"),
+        m.dbl(F.col("labor_cost_td") - m.zero_if_null("total_billed")).alias("unbilled"),
+    )

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobmargin.functions import measures as m
 from jobmargin.functions.text import any_word
 from jobmargin.operators.portfolio import for_project
+from jobmargin.plans import earned_value as ev
 from jobmargin.plans import ledger
+from jobmargin.plans.intervals import join_in_periods
 
 Tables = Mapping[str, DataFrame]
 
@@ -88,3 +90,33 @@ def overrun_notes(tables: Tables, words: Iterable[str] = CAUSE_WORDS, factor=OVE
         .select("note_id", "project_id", "date", "note_type", "author", "content")
         .orderBy("project_id", F.desc("date"), "note_id")
     )
+
+
+def overrun_periods(tables: Tables, factor=OVERRUN_FACTOR) -> DataFrame:
+    """The periods in which a line's labor cost to date was over its budget by the factor.
+
+    A period runs from the Monday of the first such week to the Sunday of the last in a row, counting the
+    weeks with labor; a correction can end one.  `overrun` is the highest excess over the budget in it.
+    A line without budget row has no period; one with a budget of 0 is over with its first cost.
+    """
+    weeks = ev.labor_week_uncut(tables).select(*ev.LINE_WEEK, "labor_cost_w")
+    budget = tables["sov_budget"].select(*ev.LINE, F.col("estimated_labor_cost").alias("budget"))
+    ordered = Window.partitionBy(*ev.LINE).orderBy("week_end")
+    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spent = weeks.join(budget, ev.LINE).withColumn("cost_td", F.sum("labor_cost_w").over(running))
+    over = spent.withColumn("over", F.col("cost_td") > F.col("budget") * m.as_decimal(factor))
+    begins = F.col("over") & ~F.coalesce(F.lag("over").over(ordered), F.lit(False))
+    numbered = over.withColumn("begins", begins).withColumn("period", F.sum(F.col("begins").cast("int")).over(running))
+    periods = numbered.where("over").groupBy(*ev.LINE, "period").agg(
+        F.date_sub(F.min("week_end"), 6).alias("over_from"), F.max("week_end").alias("over_to"),
+        F.max(F.col("cost_td") - F.col("budget")).alias("overrun"),
+    )
+    return periods.select(*ev.LINE, "over_from", "over_to", m.dbl("overrun").alias("overrun"))
+
+
+def overrun_period_notes(tables: Tables, words: Iterable[str] = CAUSE_WORDS, factor=OVERRUN_FACTOR) -> DataFrame:
+    """Field notes naming a cause, with each line of their project that was over budget on their date."""
+    notes = tables["field_notes"].where(any_word("content", words)).select("note_id", "project_id", "date", "note_type", "author")
+    met = join_in_periods(notes, overrun_periods(tables, factor), ["project_id"], "date", "over_from", "over_to", "note_id")
+    return met.select("project_id", "sov_line_id", "over_from", "over_to", "overrun", "note_id", "date", "note_type", "author").orderBy(
+        "project_id", "sov_line_id", "over_from", "date", "note_id")

@@ -158,6 +158,14 @@ HELPERS: dict[str, str] = {
         max(scheduled_value) AS scheduled_value, arg_min(description, li.application_number) AS description
         FROM billing_line_items li JOIN billing_history bh
         ON li.project_id = bh.project_id AND li.application_number = bh.application_number GROUP BY 1, 2, 3""",
+    "labor_w_td": """SELECT *, sum(labor_cost_w) OVER (PARTITION BY project_id, sov_line_id ORDER BY week_end) AS cost_td
+        FROM labor_w_uncut""",
+    "over_w": """SELECT w.*, estimated_labor_cost AS budget, cost_td > estimated_labor_cost * 1.1 AS over
+        FROM labor_w_td w JOIN sov_budget b ON b.project_id = w.project_id AND b.sov_line_id = w.sov_line_id""",
+    "over_islands": """SELECT *, row_number() OVER (PARTITION BY project_id, sov_line_id ORDER BY week_end)
+            - row_number() OVER (PARTITION BY project_id, sov_line_id, over ORDER BY week_end) AS island FROM over_w""",
+    "periods": f"""SELECT project_id, sov_line_id, min(week_end) - 6 AS over_from, max(week_end) AS over_to,
+        {d('max(cost_td - budget)')} AS overrun FROM over_islands WHERE over GROUP BY project_id, sov_line_id, island""",
     "spine": """SELECT project_id, sov_line_id, week_end FROM labor_w
         UNION SELECT project_id, sov_line_id, week_end FROM material_w
         UNION SELECT project_id, sov_line_id, week_end FROM billing_w""",
@@ -526,6 +534,16 @@ BODIES: dict[str, str] = {
     "overrun_notes": """SELECT note_id, project_id, date, note_type, author, content FROM field_notes
         WHERE project_id IN (SELECT project_id FROM labor_lines WHERE flagged) AND ("""
         + " OR ".join(f"contains(lower(content), '{w}')" for w in CAUSES) + ")",
+    "overrun_periods": "SELECT * FROM periods",
+    "overrun_period_notes": """SELECT n.project_id, sov_line_id, over_from, over_to, overrun, note_id, date, note_type, author
+        FROM field_notes n JOIN periods p ON p.project_id = n.project_id AND n.date BETWEEN over_from AND over_to
+        WHERE (""" + " OR ".join(f"contains(lower(content), '{w}')" for w in CAUSES) + ")",
+    "labor_week_billing": f"""SELECT w.project_id, w.sov_line_id, week_end, {d('labor_hours_w')} AS labor_hours_w,
+        {d('labor_cost_w')} AS labor_cost_w, {d('cost_td')} AS labor_cost_td, {i('application_number')} AS application_number,
+        period_end, date_diff('day', period_end, week_end) AS days_since, {d('pct_complete')} AS pct_complete,
+        {d('total_billed')} AS total_billed, {d('cost_td - coalesce(total_billed, 0)')} AS unbilled
+        FROM labor_w_td w ASOF LEFT JOIN billing_line_items b ON b.project_id = w.project_id
+            AND b.sov_line_id = w.sov_line_id AND w.week_end >= b.period_end""",
     "change_orders_list": f"""SELECT co_number, project_id, project_name, description, {d('amount')} AS amount, status,
         reason_category AS reason, date_submitted FROM change_orders JOIN contracts USING (project_id)""",
     "co_status_summary": f"""SELECT count(*) AS total, count(*) FILTER (WHERE status = 'Approved') AS approved_count,
