@@ -14,7 +14,7 @@ from jobmargin.operators import (
     adhoc, alerts, billing, changes, labor, margin, notes, portfolio, quality, scope,
 )
 from jobmargin.plans import earned_value as ev
-from jobmargin.plans import latest, leaks, ledger
+from jobmargin.plans import incremental, latest, leaks, ledger
 from jobmargin.session import materialise, shared_folder
 from jobmargin.sources import junction, note_index, readers, writers
 from jobmargin.sources.bridge import BridgeTables, bridge
@@ -31,6 +31,7 @@ SEARCH = "rewh"
 NOTE_TYPE = "Issue Log"
 WORDS = ("the", "rewh")
 CAUSES = ("rewh", "ononst")
+WEEK_STARTS = ("1998-06-01", "1998-06-08", "1998-06-15")   # Mondays on which increments of the weekly facts begin
 ADDED_FROM = "1999-07-01"   # notes from here on are added to the index afterwards
 SQL = """SELECT c.gc_name, SUM(m.total_cost) AS total_cost FROM material_deliveries m
     JOIN contracts c ON c.project_id = m.project_id GROUP BY c.gc_name;"""
@@ -261,6 +262,38 @@ def select_sql(spark: SparkSession, folder: str) -> DataFrame:
     return portable(adhoc.select_sql(spark, bridge(spark, folder), SQL))
 
 
+def increments(tables: BridgeTables) -> list[dict[str, DataFrame]]:
+    """The rows up to WEEK_STARTS[0], of each week from there, and of all later ones, as files that arrive one after the other.
+
+    Rework of the first week comes a week late.
+    """
+    def number(date: str) -> Column:
+        return sum(((F.col(date) >= F.lit(start)).cast("int") for start in WEEK_STARTS), F.lit(0))
+
+    history = tables["billing_history"].withColumn("increment", number("period_end"))
+    rework = F.col("log_id").startswith("OVR-") & (number("date") == 1)
+    parts = {
+        "labor_logs": tables["labor_logs"].withColumn("increment", number("date") + rework.cast("int")),
+        "material_deliveries": tables["material_deliveries"].withColumn("increment", number("date")),
+        "billing_history": history,
+        "billing_line_items": tables["billing_line_items"].join(
+            history.select("project_id", "application_number", "increment"), ["project_id", "application_number"]),
+    }
+    path = shared_folder(tables.spark, "arrivals")
+    for name, rows in parts.items():
+        rows.write.partitionBy("increment").parquet(f"{path}/{name}")
+    arrived = {name: tables.spark.read.schema(rows.schema).parquet(f"{path}/{name}") for name, rows in parts.items()}
+    return [{name: rows.where(F.col("increment") == k) for name, rows in arrived.items()} for k in range(len(WEEK_STARTS) + 1)]
+
+
+def fact_line_week_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The weekly facts with to-date columns after an initial load and three increments."""
+    facts = incremental.WeeklyFacts(spark, shared_folder(spark, "weekly-facts"))
+    for number, rows in enumerate(increments(bridge(spark, folder))):
+        facts.append(rows, number)
+    return portable(facts.read().drop(*INTERNAL))
+
+
 # --- note index --------------------------------------------------------------------------
 
 def _note_index(spark: SparkSession, notes_table: DataFrame) -> str:
@@ -412,6 +445,7 @@ QUERIES: dict[str, Query] = {
     "week_spine": over_tables(ev.week_spine),
     "fact_line_week": over_tables(ev.fact_line_week),
     "fact_line_week_td": over_tables(public(ev.fact_line_week_td)),
+    "fact_line_week_incremental": fact_line_week_incremental,
     "earned_value": over_tables(public(ev.earned_value)),
     "burn_signatures": over_tables(public(ev.burn_signatures)),
     "fact_closeout": over_tables(ev.fact_closeout),

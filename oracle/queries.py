@@ -589,6 +589,7 @@ BODIES: dict[str, str] = {
     "week_spine": "SELECT project_id, sov_line_id, week_end FROM spine",
     "fact_line_week": f"SELECT {fact_columns(FACT)} FROM fact_w",
     "fact_line_week_td": f"SELECT {fact_columns(FACT, TD)} FROM fact_td",
+    "fact_line_week_incremental": f"SELECT {fact_columns(FACT, TD)} FROM fact_td",
     "earned_value": f"SELECT {fact_columns(FACT, TD, EARNED)} FROM earned",
     "burn_signatures": f"SELECT {fact_columns(FACT, TD, EARNED, BURNS)} FROM burns",
     "fact_closeout": f"SELECT {fact_columns(FACT, TD, EARNED, BURNS, CLOSEOUT)} FROM closeout",
