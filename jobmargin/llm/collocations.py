@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,29 +18,28 @@ from jobmargin.llm.hat_trie import HatTrie, sorted_run
 
 LEAST, LONGEST, TOP = 100, 5, 2000   # occurrences of a candidate; its words; phrases reported a language
 BURST = 1 << 14        # entries of a container that bursts
-HELD = 500_000         # entries a task holds before it spills subtrees
+HELD = 300_000         # entries of tries a task holds before it spills subtrees
+HASHES = 1 << 21       # counted hashes a task holds before it passes them on
 KNOWN = 1_000_000      # words a task numbers before it spills everything and starts anew
 BITS = 1 << 26         # of a filter: 8 MB at any size of the corpus
-RUN = 1 << 16          # rows of an output batch
+LEVELS = 3             # words of the longest phrases that have a filter
+SHORT = np.uint64((1 << 40) - 1)   # bits of a hash that are shuffled
+RUN = 1 << 16          # hashes of an output batch
+PARTS = 4096           # prefix partitions that runs are cut into
+RUNS = "part int, lang string, phrases array<string>, counts array<bigint>"
+WHOLE = b""            # in the place of a phrase: all words of the language
 
 KINDS = spans.kinds(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
-COUNTED = "lang string, phrase string, a bigint"
 
 
 # --- filters: which words and pairs may be frequent --------------------------------------
 
-def _rotated(high: Column, low: Column) -> Column:
-    """One hash of two words in order."""
-    return F.shiftleft(high, 21).bitwiseOR(F.shiftrightunsigned(high, 43)).bitwiseXOR(low)
-
-
-def _filter(frequent: DataFrame, size: int) -> bytes:
-    """A bit for the hash of each phrase of `size` words; at most BITS bits reach the driver, whatever their number."""
-    words = F.split("phrase", " ")
-    hashed = functools.reduce(_rotated, [F.xxhash64("lang", words[k]) for k in range(size)])
-    place = hashed.bitwiseAND(F.lit(BITS - 1))
+def _filter(counted: DataFrame, least: int) -> bytes:
+    """A bit for each (hash, a) that sums to `least`; at most BITS bits reach the driver, whatever their number."""
+    frequent = counted.groupBy("hash").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    place = F.col("hash").bitwiseAND(F.lit(BITS - 1))
     blocks = frequent.select(F.shiftright(place, 15).alias("block"), place.bitwiseAND(F.lit(32767)).alias("bit"))
     bits = np.zeros(BITS // 8, np.uint8)
     for row in blocks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
@@ -52,6 +52,11 @@ def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One hash of two words in order."""
+    return (first << np.uint64(21) | first >> np.uint64(43)) ^ second
+
+
 # --- counting inside tasks ---------------------------------------------------------------
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
@@ -61,41 +66,76 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
 
 
 class _Text:
-    """The words of a language's texts in a batch: ids of equal words, the distinct words, and whether the next word follows in the same piece."""
+    """The words of a language's texts in a batch: ids of equal words, distinct words and their hashes, and where words follow each other in a piece."""
+
+    def __init__(self, lang: str, texts: pa.Array):
+        import xxhash
 
-    def __init__(self, texts: pa.Array):
         data, offsets = spans.content(texts)
         data = _LOWER[data]
         starts, ends, own = spans.words(data, offsets, KINDS)
-        self.ids, self.words = spans.encode(data, starts, ends, own)
-        piece = np.cumsum(KINDS[data] == spans.BREAK, dtype=np.int64)[starts] + np.searchsorted(offsets, starts, "right")
+        self.ids, words = spans.encode(data, starts, ends, own)
+        self.words = words.to_pylist()
+        seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+        self.hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words], np.uint64)
+        piece = np.searchsorted(np.flatnonzero(KINDS[data] == spans.BREAK), starts) + np.searchsorted(offsets, starts, "right")
         self.follows = np.diff(piece) == 0             # both only grow, so equal sums are equal places
 
+    def hash(self, place: np.ndarray, size: int) -> np.ndarray:
+        """Of the phrases of `size` words that start at the places."""
+        return functools.reduce(_pair, [self.hashes[self.ids[place + k]] for k in range(size)])
+
+    def starts(self, bits: list[np.ndarray], longest: int) -> list[np.ndarray]:
+        """Which distinct words pass their filter; then for each size of phrases, where one starts whose shorter parts, and itself if there is a filter, pass."""
+        passes = _set(bits[0], self.hashes)
+        at = passes[self.ids]
+        out = [passes, self.follows & at[:-1] & at[1:]]
+        for size in range(2, longest + 1):
+            if size <= len(bits):
+                place = np.flatnonzero(out[-1])
+                out[-1][place] = _set(bits[size - 1], self.hash(place, size))
+            out.append(out[-1][:-1] & out[-1][1:])
+        return out[:longest]
+
+
+def _bits(filters: list) -> list[np.ndarray]:
+    return [np.frombuffer(f.value, np.uint8) for f in filters]
 
-def _batches(lang: str, phrases: pa.Array, counts: pa.Array) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(phrases), RUN):
-        own = phrases.slice(at, RUN)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), own.cast(pa.string()), counts.slice(at, RUN)], ["lang", "phrase", "a"])
 
+def _count_hashes(batches: Iterator[pa.RecordBatch], filters: list) -> Iterator[pa.RecordBatch]:
+    """(hash, a) of the words, or with filters of the phrases one word longer whose parts pass; equal hashes are summed up to HASHES at a time."""
+    bits, held, size = _bits(filters), [], 0
 
-def _count_words(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, dict[bytes, int]] = {}
+    def merged():
+        hashes, counts = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(hashes, kind="stable")
+        hashes, counts = hashes[order], counts[order]
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+        return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
 
-    def spill():
-        for lang, own in counts.items():
-            words = pa.array(list(own), pa.large_binary())
-            order = pc.sort_indices(words)
-            yield from _batches(lang, words.take(order), pa.array(list(own.values()), pa.int64()).take(order))
-        counts.clear()
+    def run(hashes, counts):
+        for at in range(0, len(hashes), RUN):
+            own = slice(at, at + RUN)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[own].view(np.int64)), pa.array(counts[own])], ["hash", "a"])
 
     for batch in batches:
         for lang, texts in _by_language(batch):
-            text, own = _Text(texts), counts.setdefault(lang, {})
-            for word, count in zip(text.words.to_pylist(), np.bincount(text.ids, minlength=len(text.words)).tolist()):
-                own[word] = own.get(word, 0) + count
-        if sum(map(len, counts.values())) > held:
-            yield from spill()
-    yield from spill()
+            text = _Text(lang, texts)
+            if bits:
+                size_now = len(bits) + 1
+                place = np.flatnonzero(text.starts(bits, size_now)[-1])
+                held.append(np.unique(text.hash(place, size_now) & SHORT, return_counts=True))
+            else:
+                held.append((text.hashes & SHORT, np.bincount(text.ids, minlength=len(text.hashes))))
+            size += len(held[-1][0])
+        if size > HASHES:
+            held = [merged()]
+            size = len(held[0][0])
+            if size > HASHES // 2:
+                yield from run(*held.pop())
+                size = 0
+    if held:
+        yield from run(*merged())
 
 
 class _Numbers:
@@ -112,89 +152,114 @@ class _Numbers:
         return pa.array(list(self.ids), pa.large_binary())
 
 
-def _phrases(text: _Text, lang: str, numbers: _Numbers, bits: list[np.ndarray], sizes: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(distinct sequences of numbers, counts) for phrases of each size whose words, and pairs if given, pass the filters."""
-    import xxhash
-
-    words = text.words.to_pylist()
-    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
-    passes = _set(bits[0], hashes) if len(words) else np.zeros(0, bool)
-    number = np.full(len(words), -1, np.int64)
-    number[passes] = numbers.of([w for w, own in zip(words, passes.tolist()) if own])
-    at = number[text.ids]
-    linked = text.follows & (at[:-1] >= 0) & (at[1:] >= 0)
-    if len(bits) > 1:
-        place = np.flatnonzero(linked)
-        high, low = hashes[text.ids[place]], hashes[text.ids[place + 1]]
-        linked[place] = _set(bits[1], (high << np.uint64(21) | high >> np.uint64(43)) ^ low)
-    place = np.flatnonzero(linked)
-    code, width = at[place], len(numbers.ids) + 1
-    for size in range(2, sizes.stop):
-        if size > 2:                                   # the pairs from the second word on are linked as well
-            going = np.zeros(len(place), bool)
-            inside = place + size - 2 < len(linked)
-            going[inside] = linked[place[inside] + size - 2]
-            place, code = place[going], code[going]
+def _phrases(text: _Text, numbers: _Numbers, bits: list[np.ndarray], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(distinct sequences of numbers, counts) of the words that pass, then of the phrases of each size whose parts pass."""
+    passes, *starts = text.starts(bits, longest)
+    number = np.full(len(passes), -1, np.int64)
+    number[passes] = numbers.of([w for w, own in zip(text.words, passes.tolist()) if own])
+    at, width = number[text.ids], len(numbers.ids) + 1
+    words, counts = np.unique(at[at >= 0], return_counts=True)
+    yield words[:, None], counts
+    place = np.flatnonzero(starts[0])
+    code = at[place]
+    for size, start in enumerate(starts, 2):
+        inside = place[:np.searchsorted(place, len(start))]
+        going = start[inside]
+        place, code = inside[going], code[:len(inside)][going]
         distinct, sample, code, counts = np.unique(code * width + at[place + size - 1], return_index=True, return_inverse=True, return_counts=True)
-        if size in sizes and len(distinct):
-            chosen = place[sample]
-            yield np.column_stack([at[chosen + k] for k in range(size)]), counts
+        chosen = place[sample]
+        yield np.column_stack([at[chosen + k] for k in range(size)]), counts
 
 
-def _count_phrases(batches: Iterator[pa.RecordBatch], filters: list, sizes: range, burst: int, held: int) -> Iterator[pa.RecordBatch]:
-    """Sorted runs of (lang, phrase, a): spilled subtrees, and all that is left at the end."""
-    bits = [np.frombuffer(f.value, np.uint8) for f in filters]
+def _prefix(phrase: bytes) -> bytes:
+    return b" ".join(phrase.split(b" ", 2)[:2])
+
+
+def _run(lang: str, phrases: pa.Array, counts: pa.Array) -> pa.RecordBatch:
+    """A sorted run, cut into one row a prefix partition: phrases that begin with the same two words go together."""
+    part = np.array([zlib.crc32(_prefix(p)) % PARTS for p in phrases.to_pylist()], np.int32)
+    order = np.argsort(part, kind="stable")            # each row is in order again
+    part = part[order]
+    edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(edges), values.take(pa.array(order))) for values in (phrases.cast(pa.string()), counts)]
+    return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array([lang] * (len(edges) - 1), pa.string()), *lists], ["part", "lang", "phrases", "counts"])
+
+
+def _count_phrases(batches: Iterator[pa.RecordBatch], filters: list, longest: int, burst: int, held: int) -> Iterator[pa.RecordBatch]:
+    """Sorted runs of phrases and counts: spilled subtrees, and all that is left at the end."""
+    bits = _bits(filters)
     tries: dict[str, HatTrie] = {}
+    totals: dict[str, int] = {}
     numbers = _Numbers()
 
-    def run(lang, subtrees):
-        return _batches(lang, *sorted_run(subtrees, numbers.words()))
-
     def spill_all():
         for lang, trie in tries.items():
-            yield from run(lang, trie.spill())
+            yield _run(lang, *sorted_run(trie.spill(), numbers.words()))
 
     for batch in batches:
         for lang, texts in _by_language(batch):
-            trie = tries.setdefault(lang, HatTrie(burst, held))
-            for rows, counts in _phrases(_Text(texts), lang, numbers, bits, sizes):
+            text, trie = _Text(lang, texts), tries.setdefault(lang, HatTrie(burst, held))
+            totals[lang] = totals.get(lang, 0) + len(text.ids)
+            for rows, counts in _phrases(text, numbers, bits, longest):
                 if subtrees := trie.add(rows, counts):
-                    yield from run(lang, subtrees)
+                    yield _run(lang, *sorted_run(subtrees, numbers.words()))
         if len(numbers.ids) > KNOWN or sum(t.entries for t in tries.values()) > held:
             yield from spill_all()
             numbers = _Numbers()
     yield from spill_all()
+    for lang, n in totals.items():
+        yield _run(lang, pa.array([WHOLE], pa.large_binary()), pa.array([n], pa.int64()))
+
+
+def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Phrases with `least` occurrences and the totals, from the runs of one prefix partition after the other."""
+    def ready(table):
+        own = pc.or_(pc.greater_equal(table["counts_sum"], least), pc.equal(table["phrases"], WHOLE.decode()))
+        rows = table.filter(own).select(["lang", "phrases", "counts_sum"]).rename_columns(["lang", "phrase", "a"])
+        return rows.to_batches()
+
+    held = None
+    for batch in batches:
+        lists, of = batch.column("phrases"), pc.list_parent_indices(batch.column("phrases"))
+        rows = pa.table({"part": batch.column("part").take(of), "lang": batch.column("lang").take(of), "phrases": lists.flatten(), "counts": batch.column("counts").flatten()})
+        if held is not None:
+            rows = pa.concat_tables([held.rename_columns(["part", "lang", "phrases", "counts"]), rows])
+        if not rows.num_rows:
+            continue
+        last = rows["part"][-1]
+        summed = rows.group_by(["part", "lang", "phrases"]).aggregate([("counts", "sum")])
+        here = pc.equal(summed["part"], last)
+        held = summed.filter(here)
+        yield from ready(summed.filter(pc.invert(here)))
+    if held is not None:
+        yield from ready(held)
 
 
 # --- the plan ----------------------------------------------------------------------------
 
 def _merged(runs: DataFrame, least: int) -> DataFrame:
-    """Runs merged by prefix: phrases that begin with the same two words meet in one partition."""
-    dealt = runs.withColumn("prefix", F.substring_index("phrase", " ", 2)).repartition("lang", "prefix")
-    return dealt.groupBy("lang", "prefix", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least).drop("prefix")
+    """All runs of a prefix partition meet in one task, which merges one partition at a time."""
+    dealt = runs.repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(functools.partial(_merge, least=least), "lang string, phrase string, a bigint")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, burst: int = BURST, held: int = HELD) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, a) of all phrases of 1 to `longest` words that occur `least` times, and (lang, n) (eager).
 
-    Three scans.  The first counts words.  A phrase cannot be more frequent than its words and pairs, so
-    the second counts pairs of frequent words and the third longer phrases of frequent pairs, known by a bit filter of
-    fixed size: a false bit costs counting, never a phrase.  Each task counts in a trie of bounded size.
+    A phrase is never more frequent than its parts, so one scan counts hashes of words, one hashes of pairs
+    of frequent words, one hashes of triples of frequent pairs, and the last counts the words and phrases themselves
+    whose parts may all be frequent.  Bit filters of fixed size tell: a false bit costs counting, never
+    a phrase.  In the last scan each task counts in tries of bounded size and spills whole subtrees as sorted runs.
     """
     texts = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), whole_text().alias("text"))
-    spark = docs.sparkSession
-    words = stored(texts.mapInArrow(functools.partial(_count_words, held=held), COUNTED).groupBy("lang", "phrase").agg(F.sum("a").alias("a")), "words")
-    totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    levels = [words.where(F.col("a") >= least)]
-    filters = []
-    for sizes in [range(2, 3), range(3, longest + 1)]:
-        if longest >= sizes.start:
-            filters.append(spark.sparkContext.broadcast(_filter(levels[-1], len(levels))))
-            count = functools.partial(_count_phrases, filters=list(filters), sizes=sizes, burst=burst, held=held)
-            levels.append(stored(_merged(texts.mapInArrow(count, COUNTED), least), "phrases"))
-    counts = functools.reduce(DataFrame.unionByName, levels)
-    return counts.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "a"), totals
+    context, filters = docs.sparkSession.sparkContext, []
+    for _ in range(min(LEVELS, longest)):
+        counted = texts.mapInArrow(functools.partial(_count_hashes, filters=list(filters)), "hash bigint, a bigint")
+        filters.append(context.broadcast(_filter(counted, least)))
+    count = functools.partial(_count_phrases, filters=filters, longest=longest, burst=burst, held=held)
+    counts, whole = stored(_merged(texts.mapInArrow(count, RUNS), least), "phrases"), F.col("phrase") == WHOLE.decode()
+    phrases = counts.where(~whole).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "a")
+    return phrases, counts.where(whole).select("lang", F.col("a").alias("n"))
 
 
 def _part(words: Column, start: Column, length: Column) -> Column:

@@ -41,7 +41,7 @@ USUAL, SMALL = "67108864b", "8388608b"  # of what goes to a Python worker at a t
 
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package wherever the driver was started, and get texts in small batches unless the session says how large."""
-    if spark.conf.get(BATCH, None) == USUAL:
+    if spark.conf.get(BATCH) == USUAL:
         spark.conf.set(BATCH, SMALL)
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:

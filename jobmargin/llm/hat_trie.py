@@ -34,7 +34,8 @@ class HatTrie:
         if not len(rows):
             return []
         rest = np.ascontiguousarray(rows[:, 1:], ID)
-        keys, numbers = rest.view(f"V{rest.shape[1] * ID.itemsize}").ravel().tolist(), counts.tolist()
+        keys = rest.view(f"V{rest.shape[1] * ID.itemsize}").ravel().tolist() if rest.shape[1] else [b""] * len(rows)
+        numbers = counts.tolist()
         edges = np.flatnonzero(np.diff(rows[:, 0], prepend=-1)).tolist() + [len(rows)]
         for first, a, b in zip(rows[edges[:-1], 0].tolist(), edges[:-1], edges[1:]):
             held = self.root.setdefault(first, {})
@@ -42,7 +43,7 @@ class HatTrie:
             if isinstance(held, _Node):
                 grown = 0
                 for key, count in zip(keys[a:b], numbers[a:b]):
-                    below = held.setdefault(key[:4], {})
+                    below = held.setdefault(key[:4], {})   # under b"" for the first word alone
                     size = len(below)
                     below[key[4:]] = below.get(key[4:], 0) + count
                     grown += len(below) - size

@@ -18,7 +18,7 @@ def test_trie_counts_through_bursts_and_spills():
     rng = np.random.default_rng(1)
     trie, spilled, expected = hat_trie.HatTrie(burst=8, held=60), [], Counter()
     for _ in range(40):
-        for size in (3, 4):
+        for size in (1, 3, 4):
             rows, counts = np.unique(rng.integers(0, 5, (30, size)), axis=0, return_counts=True)
             for row, count in zip(rows.tolist(), counts.tolist()):
                 expected[tuple(row)] += count
@@ -81,7 +81,7 @@ def test_false_bits_change_nothing(spark, monkeypatch):
     rows = texts()
     docs = spark.createDataFrame(rows, "lang string, text string")
     full = collocations._filter
-    monkeypatch.setattr(collocations, "_filter", lambda frequent, size: b"\xff" * len(full(frequent, size)))
+    monkeypatch.setattr(collocations, "_filter", lambda counted, least: b"\xff" * len(full(counted, least)))
     assert sorted(map(tuple, collocations.collocations(docs, 5).collect())) == brute(rows, 5, 5, 2000)
 
 
