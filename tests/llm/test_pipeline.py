@@ -1,11 +1,10 @@
 import random
-from itertools import combinations
 
 import corpus_pipeline as pipeline
 from jobmargin.llm import best_fit, toxicity, words
 from jobmargin.llm.common import importable
 from test_lines_mixing import brute_repeats
-from test_simhash import reach, slow_fingerprint
+from test_shingles import brute_groups
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -46,12 +45,10 @@ def test_stages_against_plain_python(spark):
 
     kept = pipeline.drop_near_duplicates(spark, docs, FOLDER)
     assert kept.columns == docs.columns
-    prints = {r[0]: slow_fingerprint(r[1] or "") for r in unique}
-    fps = sorted(set(prints.values()))
-    groups = reach(fps, [(a, b) for a, b in combinations(fps, 2) if (a ^ b).bit_count() <= 4])
+    groups, _ = brute_groups([r[1] for r in unique])
     best = {}
-    for i, fp in prints.items():
-        best.setdefault(groups[fp], []).append((i is None, i))
+    for row, group in zip(unique, groups):
+        best.setdefault(group, []).append((row[0] is None, row[0]))
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted((n, i or 0) for n, i in map(lambda g: min(g, key=lambda x: (x[0], x[1] or 0)), best.values()))
 
     mixed = pipeline.mix_sources(spark, docs, FOLDER)
