@@ -14,7 +14,7 @@ from jobmargin.operators import (
     adhoc, alerts, billing, changes, labor, margin, notes, portfolio, quality, scope,
 )
 from jobmargin.plans import earned_value as ev
-from jobmargin.plans import incremental, latest, leaks, ledger
+from jobmargin.plans import drift, incremental, latest, leaks, ledger, rollup
 from jobmargin.session import materialise, shared_folder
 from jobmargin.sources import junction, note_index, readers, writers
 from jobmargin.sources.bridge import BridgeTables, bridge
@@ -418,6 +418,7 @@ QUERIES: dict[str, Query] = {
     "labor_overruns_flagged": over_tables(labor.labor_overruns_flagged),
     "labor_overrun_total": over_tables(labor.labor_overrun_total),
     "overrun_notes": over_tables(labor.overrun_notes, words=CAUSES),
+    "labor_rollup": over_tables(rollup.labor_rollup),
     "overrun_periods": over_tables(labor.overrun_periods),
     "overrun_period_notes": over_tables(labor.overrun_period_notes, words=CAUSES),
     # change orders and RFIs
@@ -448,6 +449,8 @@ QUERIES: dict[str, Query] = {
     "fact_line_week_incremental": fact_line_week_incremental,
     "earned_value": over_tables(public(ev.earned_value)),
     "burn_signatures": over_tables(public(ev.burn_signatures)),
+    "rolling_burn": over_tables(drift.rolling_burn),
+    "burn_change_points": over_tables(drift.burn_change_points),
     "fact_closeout": over_tables(ev.fact_closeout),
     "project_scales": over_tables(ev.project_scales),
     "scaled_variance": over_tables(ev.scaled_variance),

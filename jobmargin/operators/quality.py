@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobmargin.functions import measures as m
@@ -39,33 +39,44 @@ def dq_primary_key(tables: Tables, names: Iterable[str] = tuple(TABLES)) -> Data
 def dq_foreign_key(tables: Tables, references: Iterable[Reference] = REFERENCES) -> DataFrame:
     """Per reference: key values without a parent and the rows holding them.
 
-    Child keys are counted before the anti join, so a key that fills a third of the
-    table is one row there.  References to the same parent key share one anti join.
-    A key with a NULL part refers to nothing.
+    Each child is scanned once: its rows are counted by all its key columns, map-side first, and the counts
+    are then dealt to its references.  All references meet the stacked parent keys in one anti join, where
+    a key that fills a third of a table is one row.  A key with a NULL part refers to nothing.
     """
     references = list(references)
+    targets = list(dict.fromkeys((ref.parent, ref.parent_columns) for ref in references))
+    names = [f"key_{k}" for k in range(max(len(ref.columns) for ref in references))]
+
+    def keys(columns: tuple[str, ...]) -> list[Column]:
+        padded = [F.col(c).cast("string") for c in columns] + [F.lit("")] * (len(names) - len(columns))
+        return [value.alias(name) for value, name in zip(padded, names)]
+
+    def dealt(child: str) -> DataFrame:
+        own = [(number, ref) for number, ref in enumerate(references) if ref.child == child]
+        columns = list(dict.fromkeys(c for _, ref in own for c in ref.columns))
+        counted = tables[child].groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+        each = [
+            F.struct(F.lit(number).alias("reference"), F.lit(targets.index((ref.parent, ref.parent_columns))).alias("target"), *keys(ref.columns))
+            for number, ref in own
+        ]
+        return counted.select("n", F.inline(F.array(*each)))
 
-    def label(ref: Reference):
-        return [F.lit(ref.child).alias("child_table"), F.lit(",".join(ref.columns)).alias("columns"),
-                F.lit(ref.parent).alias("parent_table")]
-
-    def orphans(parent: str, parent_columns: tuple[str, ...]) -> DataFrame:
-        keys = [f"key_{k}" for k in range(len(parent_columns))]
-        children = _union(
-            tables[ref.child].select(*label(ref), *[F.col(c).alias(k) for c, k in zip(ref.columns, keys)])
-            for ref in references if (ref.parent, ref.parent_columns) == (parent, parent_columns)
-        )
-        counted = children.dropna(subset=keys).groupBy(*LABELS, *keys).agg(F.count(F.lit(1)).alias("n"))
-        parents = tables[parent].select(*[F.col(c).alias(k) for c, k in zip(parent_columns, keys)])
-        return counted.join(parents, keys, "left_anti").select(*LABELS, F.lit(1).alias("keys"), "n")
+    children = _union(map(dealt, dict.fromkeys(ref.child for ref in references))).dropna(subset=names)
+    counts = children.groupBy("reference", "target", *names).agg(F.sum("n").alias("n"))
+    parents = _union(
+        tables[parent].select(F.lit(number).alias("target"), *keys(columns)) for number, (parent, columns) in enumerate(targets))
+    orphans = counts.join(parents, ["target", *names], "left_anti").groupBy("reference").agg(
+        F.count(F.lit(1)).alias("orphan_keys"), F.sum("n").alias("orphan_rows"))
 
     # One row per reference, also for those without orphans.
-    spark = tables[references[0].child].sparkSession
-    none = spark.range(1).select(F.inline(F.array(*[F.struct(*label(ref)) for ref in references]))).select(
-        *LABELS, F.lit(0).alias("keys"), F.lit(0).cast("bigint").alias("n"))
-    targets = dict.fromkeys((ref.parent, ref.parent_columns) for ref in references)
-    found = _union([none, *[orphans(*target) for target in targets]])
-    return found.groupBy(*LABELS).agg(F.sum("keys").alias("orphan_keys"), F.sum("n").alias("orphan_rows"))
+    listed = F.array(*[
+        F.struct(F.lit(number).alias("reference"), F.lit(ref.child).alias("child_table"),
+                 F.lit(",".join(ref.columns)).alias("columns"), F.lit(ref.parent).alias("parent_table"))
+        for number, ref in enumerate(references)
+    ])
+    rows = tables[references[0].child].sparkSession.range(1).select(F.inline(listed))
+    return rows.join(orphans, "reference", "left").select(
+        *LABELS, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("orphan_keys", "orphan_rows")])
 
 
 def dq_domain(tables: Tables) -> DataFrame:

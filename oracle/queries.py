@@ -158,6 +158,19 @@ HELPERS: dict[str, str] = {
         max(scheduled_value) AS scheduled_value, arg_min(description, li.application_number) AS description
         FROM billing_line_items li JOIN billing_history bh
         ON li.project_id = bh.project_id AND li.application_number = bh.application_number GROUP BY 1, 2, 3""",
+    "drift_w": """SELECT project_id, sov_line_id, week_end, labor_cost_w, estimated_labor_cost AS budget,
+        earned_labor_cost_td - coalesce(lag(earned_labor_cost_td) OVER (PARTITION BY project_id, sov_line_id ORDER BY week_end), 0) AS earned_w
+        FROM earned WHERE estimated_labor_cost > 0""",
+    "drift_walk": """SELECT *, sum(labor_cost_w - earned_w - budget * 0.01) OVER (PARTITION BY project_id, sov_line_id ORDER BY week_end) AS walk,
+        sum(labor_cost_w) OVER recent AS cost_4w, sum(earned_w) OVER recent AS earned_4w FROM drift_w
+        WINDOW recent AS (PARTITION BY project_id, sov_line_id ORDER BY week_end RANGE BETWEEN INTERVAL 27 DAYS PRECEDING AND CURRENT ROW)""",
+    "drift_excess": """SELECT *, walk - least(0, min(walk) OVER (PARTITION BY project_id, sov_line_id ORDER BY week_end)) AS excess FROM drift_walk""",
+    # The present excess began in the week after the last one without any.
+    "drift": f"""SELECT e.*, CASE WHEN excess > 0 THEN (SELECT min(b.week_end) FROM drift_excess b WHERE b.project_id = e.project_id
+            AND b.sov_line_id = e.sov_line_id AND b.week_end <= e.week_end AND b.week_end > coalesce((SELECT max(z.week_end)
+                FROM drift_excess z WHERE z.project_id = e.project_id AND z.sov_line_id = e.sov_line_id AND z.excess = 0
+                AND z.week_end <= e.week_end), DATE '0001-01-01')) END AS since,
+        CASE WHEN earned_4w <> 0 THEN {d('cost_4w')} / {d('earned_4w')} END AS burn_4w FROM drift_excess e""",
     "labor_w_td": """SELECT *, sum(labor_cost_w) OVER (PARTITION BY project_id, sov_line_id ORDER BY week_end) AS cost_td
         FROM labor_w_uncut""",
     "over_w": """SELECT w.*, estimated_labor_cost AS budget, cost_td > estimated_labor_cost * 1.1 AS over
@@ -534,6 +547,12 @@ BODIES: dict[str, str] = {
     "overrun_notes": """SELECT note_id, project_id, date, note_type, author, content FROM field_notes
         WHERE project_id IN (SELECT project_id FROM labor_lines WHERE flagged) AND ("""
         + " OR ".join(f"contains(lower(content), '{w}')" for w in CAUSES) + ")",
+    "labor_rollup": f"""SELECT list_extract(['week', 'line', '', 'contract', '', '', '', 'portfolio'],
+            CAST(grouping_id(project_id, sov_line_id, week_end) + 1 AS BIGINT)) AS level,
+        project_id, sov_line_id, week_end, count(*) AS entries, {d('sum(hours)')} AS hours, {d('sum(cost)')} AS cost,
+        {r(f"median({d('cost')})")} AS median_cost
+        FROM (SELECT project_id, sov_line_id, {week_end('date')} AS week_end, {HOURS} AS hours, {COST} AS cost FROM labor_logs)
+        GROUP BY ROLLUP (project_id, sov_line_id, week_end)""",
     "overrun_periods": "SELECT * FROM periods",
     "overrun_period_notes": """SELECT n.project_id, sov_line_id, over_from, over_to, overrun, note_id, date, note_type, author
         FROM field_notes n JOIN periods p ON p.project_id = n.project_id AND n.date BETWEEN over_from AND over_to
@@ -592,6 +611,13 @@ BODIES: dict[str, str] = {
     "fact_line_week_incremental": f"SELECT {fact_columns(FACT, TD)} FROM fact_td",
     "earned_value": f"SELECT {fact_columns(FACT, TD, EARNED)} FROM earned",
     "burn_signatures": f"SELECT {fact_columns(FACT, TD, EARNED, BURNS)} FROM burns",
+    "rolling_burn": f"""SELECT project_id, sov_line_id, week_end, {d('labor_cost_w')} AS labor_cost_w, {d('budget')} AS budget,
+        {d('earned_w')} AS earned_w, {d('cost_4w')} AS cost_4w, {d('earned_4w')} AS earned_4w, {d('excess')} AS excess, since,
+        {r('burn_4w')} AS burn_4w FROM drift""",
+    "burn_change_points": f"""SELECT project_id, sov_line_id, week_end AS signal_week, since AS change_week,
+        date_diff('day', since, week_end) // 7 AS weeks_to_signal, {d('excess')} AS excess, {d('budget')} AS budget, {r('burn_4w')} AS burn_4w
+        FROM drift WHERE excess > budget * 0.10
+        QUALIFY row_number() OVER (PARTITION BY project_id, sov_line_id ORDER BY week_end) = 1""",
     "fact_closeout": f"SELECT {fact_columns(FACT, TD, EARNED, BURNS, CLOSEOUT)} FROM closeout",
     "project_scales": f"SELECT project_id, {r('labor_scale')} AS labor_scale, {r('mat_scale')} AS mat_scale FROM scales",
     "scaled_variance": f"SELECT {fact_columns(FACT, TD, EARNED, BURNS, CLOSEOUT, SCALED)} FROM variances",
