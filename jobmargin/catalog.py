@@ -21,7 +21,8 @@ from jobmargin.sources.bridge import BridgeTables, bridge
 from jobmargin.sources.schemas import FILE_TABLES, TABLES
 from jobmargin.streaming import labor as stream_labor
 from jobmargin.streaming import overruns as stream_overruns
-from jobmargin.streaming.runner import result_of
+from jobmargin.streaming import lag as billing_lags
+from jobmargin.streaming.runner import appended, result_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -346,6 +347,20 @@ def stream_overrun_events(spark: SparkSession, folder: str) -> DataFrame:
     return portable(last.where("event = 'opened'").select("project_id", "event", "reason", "budget_labor_cost"))
 
 
+def labor_billing_wait(tables: BridgeTables) -> DataFrame:
+    """Per project: entries billed within a month, and how long they waited."""
+    return billing_lags.lag_by_project(billing_lags.billed_within(tables["labor_logs"], billing_lags.dated_applications(tables)))
+
+
+def stream_labor_billing_wait(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from a stream of entries and a stream of applications."""
+    applications, path = billing_lags.dated_applications(bridge(spark, folder)), shared_folder(spark, "stream-applications")
+    applications.write.parquet(path)
+    arriving = spark.readStream.schema(applications.schema).parquet(path)
+    met = billing_lags.stream_billed_within(stream_labor.labor_stream(spark, folder), arriving)
+    return portable(billing_lags.lag_by_project(appended(met, "billing-wait")))
+
+
 QUERIES: dict[str, Query] = {
     # sources, sinks, normalisation
     "load_tables": load_tables,
@@ -465,6 +480,8 @@ QUERIES: dict[str, Query] = {
     "stream_labor_week": stream_labor_week,
     "stream_overrun_alerts": stream_overrun_alerts,
     "stream_overrun_events": stream_overrun_events,
+    "labor_billing_wait": over_tables(labor_billing_wait),
+    "stream_labor_billing_wait": stream_labor_billing_wait,
     # data quality
     "dq_primary_key": over_tables(quality.dq_primary_key),
     "dq_foreign_key": over_tables(quality.dq_foreign_key),

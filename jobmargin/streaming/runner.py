@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from jobmargin.session import DEFAULTS, shared_folder
 from jobmargin.streaming.store import KeyedStore
@@ -13,8 +14,8 @@ from jobmargin.streaming.store import KeyedStore
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Write each micro-batch's changed rows below ``path/batch_id=N`` and stop when caught up.
+def run_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Write each micro-batch's changed (or appended) rows below ``path/batch_id=N`` and stop when caught up; returns the ended query.
 
     A batch that is run again after a failure overwrites its own folder.
     """
@@ -22,13 +23,14 @@ def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
         changed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     query = (
-        stream.writeStream.outputMode("update")
+        stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(write_batch)
         .start()
     )
     query.awaitTermination()
+    return query
 
 
 def latest_state(updates: DataFrame, keys: Iterable[str]) -> DataFrame:
@@ -69,3 +71,10 @@ def result_of(stream: DataFrame, keys: Iterable[str], purpose: str) -> DataFrame
     follow(stream, store, f"{path}/checkpoint")
     store.compact()
     return store.read()
+
+
+def appended(stream: DataFrame, purpose: str) -> DataFrame:
+    """Run a stream in append mode to the end of the available input and return all its rows."""
+    path = shared_folder(stream.sparkSession, purpose)
+    run_updates(stream, f"{path}/rows", f"{path}/checkpoint", "append")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows").select(*stream.columns)

@@ -386,6 +386,13 @@ def length(table: str) -> list[str]:
     ]
 
 
+BILLING_WAIT = f"""SELECT project_id, count(*) AS entries, {d('sum(cost)')} AS cost,
+    {r(f"CASE WHEN sum(cost) <> 0 THEN {d('sum(cost * lag)')} / {d('sum(cost)')} END")} AS lag_days
+    FROM (SELECT l.project_id, {COST} AS cost, date_diff('day', l.date, b.period_end) AS lag
+          FROM labor_logs l JOIN billing_line_items b ON b.project_id = l.project_id AND b.sov_line_id = l.sov_line_id
+              AND b.period_end BETWEEN l.date AND l.date + 31) GROUP BY 1"""
+
+
 def union(parts) -> str:
     return "\nUNION ALL\n".join(parts)
 
@@ -658,6 +665,8 @@ BODIES: dict[str, str] = {
     "stream_overrun_alerts": f"""SELECT project_id, {d('labor')} AS actual_labor_cost,
         {d('coalesce(b_labor, 0)')} AS budget_labor_cost, {d('labor - coalesce(b_labor, 0)')} AS overrun
         FROM p_labor LEFT JOIN p_budget USING (project_id) WHERE labor > coalesce(b_labor, 0) * 1.1""",
+    "labor_billing_wait": BILLING_WAIT,
+    "stream_labor_billing_wait": BILLING_WAIT,
     "stream_overrun_events": f"""SELECT project_id, 'opened' AS event, 'labor' AS reason,
         {d('coalesce(b_labor, 0)')} AS budget_labor_cost
         FROM p_labor LEFT JOIN p_budget USING (project_id) WHERE labor > coalesce(b_labor, 0) * 1.1""",
