@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,15 +107,19 @@ def pack(items: DataFrame, capacity: int = CAPACITY, size: str = "length") -> Da
 
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            sizes = batch[size]
-            if sizes.isna().any() or not sizes.between(1, capacity).all():
+            column = batch.column(size)
+            sizes = column.to_numpy(zero_copy_only=False)
+            if column.null_count or not ((sizes >= 1) & (sizes <= capacity)).all():
                 raise ValueError(f"sizes must be from 1 to {capacity}")
-            batch["_task"] = task
-            batch["_nth"] = batch.groupby(size).cumcount().to_numpy() + seen[sizes.to_numpy(int)]
-            seen += np.bincount(sizes.to_numpy(int), minlength=capacity + 1)
-            yield batch
-
-    numbered = stored(items.mapInPandas(number, schema), "packing-items")
+            order = np.argsort(sizes, kind="stable")
+            counts = np.bincount(sizes.astype(np.int64), minlength=capacity + 1)
+            nth = np.empty(len(sizes), np.int64)
+            nth[order] = np.arange(len(sizes)) - np.repeat(np.cumsum(counts) - counts, counts)
+            nth += seen[sizes.astype(np.int64)]
+            seen += counts
+            yield with_columns(batch, {"_task": np.full(len(nth), task), "_nth": nth})
+
+    numbered = stored(items.mapInArrow(number, schema), "packing-items")
     by_task = numbered.groupBy(size, "_task").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(size).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     begins = by_task.select(size, "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
@@ -125,17 +129,20 @@ def pack(items: DataFrame, capacity: int = CAPACITY, size: str = "length") -> Da
 
     def place(batches):
         for batch in batches:
-            rank = batch.pop("_nth").to_numpy() + batch.pop("_begin").to_numpy()
-            sizes = batch[size].to_numpy(np.int64)
+            rank, sizes = batch.column("_rank").to_numpy(), batch.column(size).to_numpy().astype(np.int64)
             at = np.searchsorted(starts, sizes * -(1 << 48) + rank, side="right") - 1
             _, first_rank, _, per_bin, first_bin, offset = steps[at].T if len(at) else np.zeros((6, 0), np.int64)
             nth = rank - first_rank
-            batch["sequence_id"] = first_bin + nth // per_bin
-            batch["offset"] = offset + nth % per_bin * sizes
-            yield batch
+            yield with_columns(batch.drop_columns(["_rank"]), {"sequence_id": first_bin + nth // per_bin, "offset": offset + nth % per_bin * sizes})
 
     out = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return numbered.join(begins, [size, "_task"]).select(*items.columns, "_nth", "_begin").mapInPandas(place, out)
+    ranked = numbered.join(begins, [size, "_task"]).select(*items.columns, (F.col("_nth") + F.col("_begin")).alias("_rank"))
+    return ranked.mapInArrow(place, out)
+
+
+def with_columns(batch: pa.RecordBatch, added: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """The batch with long columns added; its own stay as they are."""
+    return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, pa.int64()) for v in added.values())], [*batch.schema.names, *added])
 
 
 def cut(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
@@ -147,24 +154,29 @@ def cut(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """A row for each piece of each document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
-    A null text counts as empty and is one piece with the end id only; repeated rows stay.
+    A null text counts as empty and is one piece with the end id only; repeated rows stay.  doc_id passes through as it is, whatever its type.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches):
-        encoder, end = words.encoder(tokenizer), np.array([END], "<u4").tobytes()
+        encoder = words.encoder(tokenizer)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = encoder(text) + end
-                for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    own = ids[4 * start:4 * (start + length)]
-                    rows.append((doc_id, k, start, length, zlib.crc32(own), np.frombuffer(own, "<u4").astype(np.int32))[:5 + with_ids])
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:5 + with_ids])
-            yield out.astype({"doc_id": batch["doc_id"].dtype}) if batch["doc_id"].notna().all() else out
+            ids, counts = encoder.batch(batch.column("text"))
+            whole = np.full(len(ids) + len(counts), END, "<u4")
+            whole[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+            ends = np.cumsum(counts + 1)
+            rows = [(text, end - n, k, *own) for text, (end, n) in enumerate(zip(ends.tolist(), (counts + 1).tolist()))
+                    for k, own in enumerate(cut(n, capacity))]
+            text, begin, piece, start, length = np.array(rows, np.int64).reshape(-1, 5).T
+            at = begin + start
+            crc = [zlib.crc32(whole[a:b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+            columns = [batch.column("doc_id").take(pa.array(text)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(whole)), pa.int32()), pa.array(whole.view(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:5 + with_ids])
 
     texts = docs.select("doc_id", whole_text().alias("text"))
-    return texts.mapInPandas(encode, f"doc_id {kind}, {PIECE}" + ", ids array<int>" * with_ids)
+    return texts.mapInArrow(encode, f"doc_id {kind}, {PIECE}" + ", ids array<int>" * with_ids)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

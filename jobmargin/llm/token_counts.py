@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +39,10 @@ def fill_cache(texts: DataFrame, tokenizer: str, cache: str, text: str = "text")
     """
     digest = words.version(tokenizer)
 
-    def encode(batches):
-        encoder = words.encoder(tokenizer)
+    @F.arrow_udf("bigint")
+    def n_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            batch["n_tokens"] = [len(encoder(t)) // 4 for t in batch.pop("text")]
-            yield batch
+            yield pa.array(words.encoder(tokenizer).batch(batch)[1])
 
     known = read_cache(texts.sparkSession, cache, digest)
     misses = (
@@ -49,7 +51,7 @@ def fill_cache(texts: DataFrame, tokenizer: str, cache: str, text: str = "text")
         .dropDuplicates(["digest"])
         .join(known, "digest", "left_anti")
     )
-    counted = misses.mapInPandas(encode, "digest string, n_tokens long")
+    counted = misses.select("digest", n_tokens("text").alias("n_tokens"))
     counted.select(F.lit(digest).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +10,7 @@ PATH = words.default_path()
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from([*"ab Z9.,'!\n\t\r\x0b\x1c\x85\xa0\u2003é漢🙂", "'s", "<|endoftext|>", "  ", " word"]), max_size=40))
+@given(st.lists(st.sampled_from([*"ab Z9.,'!\n\t\r\x0b\x1c\x85\xa0\u2003é×ʔ漢🙂", "'s", "<|endoftext|>", "  ", " word"]), max_size=40))
 def test_encoder_equals_the_tokenizer(parts):
     text, encoder = "".join(parts), words.encoder(PATH)
     assert encoder(text) == encoder.encode(text)
@@ -62,6 +63,26 @@ def test_pack_documents(spark):
     assert best_fit.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_ids_of_documents_stay_exact_beside_nulls(spark):
+    ids = [2**60 + 1, None, 2**53 + 1]
+    docs = spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string")
+    rows = best_fit.pack_documents(docs).collect()
+    assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in rows)
+
+
+def test_batches_of_real_texts(spark):
+    """Ids of whole batches, with a memo that is full at once, against the tokenizer's own."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    encoder = words.Encoder(PATH)
+    words_before, words.MEMO_WORDS = words.MEMO_WORDS, 1000
+    try:
+        ids, counts = encoder.batch(pa.array([*texts, "", "a.b,c", "É.é", "x×.y"]))
+    finally:
+        words.MEMO_WORDS = words_before
+    expected = [encoder.encode(t) for t in [*texts, "", "a.b,c", "É.é", "x×.y"]]
+    assert counts.tolist() == [len(own) // 4 for own in expected] and ids.tobytes() == b"".join(expected)
+
+
 def test_sequences_hold_the_ids(spark):
     docs = spark.createDataFrame([(1, "one two three"), (2, "four")], "doc_id long, text string")
     pieces = best_fit.token_pieces(docs, PATH, with_ids=True)
