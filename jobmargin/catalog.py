@@ -16,7 +16,7 @@ from jobmargin.operators import (
 from jobmargin.plans import earned_value as ev
 from jobmargin.plans import drift, incremental, latest, leaks, ledger, rollup
 from jobmargin.session import materialise, shared_folder
-from jobmargin.sources import junction, note_index, readers, writers
+from jobmargin.sources import compare, junction, note_index, readers, writers
 from jobmargin.sources.bridge import BridgeTables, bridge
 from jobmargin.sources.schemas import FILE_TABLES, TABLES
 from jobmargin.streaming import labor as stream_labor
@@ -179,6 +179,15 @@ def read_fact_week(spark: SparkSession, folder: str) -> DataFrame:
     return portable(ev.project_week_from(exact))
 
 
+def load_comparison(tables: BridgeTables) -> DataFrame:
+    """Two loads of the change orders: the second lacks some, has some more, and other amounts for some."""
+    orders, number = tables["change_orders"], F.col("co_number")
+    before = orders.where(~number.endswith("33"))
+    after = orders.where(~number.endswith("77")).withColumn(
+        "amount", F.when(number.endswith("55"), F.col("amount") + 1).otherwise(F.col("amount")).cast(orders.schema["amount"].dataType))
+    return compare.compare_loads(before, after, ("project_id", "co_number"))
+
+
 # --- measures ----------------------------------------------------------------------------
 
 def labor_cost(tables: BridgeTables) -> DataFrame:
@@ -370,6 +379,7 @@ QUERIES: dict[str, Query] = {
     "write_tables": write_tables,
     "write_facts": write_facts,
     "read_fact_week": read_fact_week,
+    "load_comparison": over_tables(load_comparison),
     "co_sov_lines": over_tables(junction.co_sov_lines),
     "co_impact_by_sov_line": over_tables(junction.co_impact_by_sov_line),
     # measures

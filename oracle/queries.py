@@ -140,6 +140,11 @@ HELPERS: dict[str, str] = {
         SELECT 'pending_co', 'high', project_id, project_name, CAST(pending_count AS VARCHAR)
             || ' pending change order(s) totaling ' || {dollars('pending_amount')}, {d('pending_amount')}
         FROM p_co JOIN contracts USING (project_id) WHERE pending_amount > 100000""",
+    "load_before": "SELECT * FROM change_orders WHERE NOT ends_with(co_number, '33')",
+    "load_after": """SELECT * REPLACE (CASE WHEN ends_with(co_number, '55') THEN amount + 1 ELSE amount END AS amount)
+        FROM change_orders WHERE NOT ends_with(co_number, '77')""",
+    "load_gone": "SELECT DISTINCT project_id, co_number FROM (SELECT * FROM load_before EXCEPT SELECT * FROM load_after)",
+    "load_come": "SELECT DISTINCT project_id, co_number FROM (SELECT * FROM load_after EXCEPT SELECT * FROM load_before)",
     "last_period": "SELECT project_id, max(period_end) AS last_period_end FROM billing_history GROUP BY 1",
     "labor_kept": "SELECT * FROM labor_logs JOIN last_period USING (project_id) WHERE date <= last_period_end",
     "material_kept": """SELECT * FROM material_deliveries JOIN last_period USING (project_id)
@@ -408,6 +413,9 @@ BODIES: dict[str, str] = {
         UNION ALL BY NAME SELECT 'fact_closeout' AS fact, {fact_columns(FACT, TD, EARNED, BURNS, CLOSEOUT)} FROM closeout
         UNION ALL BY NAME SELECT 'project_week' AS fact, * FROM ({PROJECT_WEEK})""",
     "read_fact_week": PROJECT_WEEK,
+    "load_comparison": """SELECT *, 'changed' AS change FROM (SELECT * FROM load_gone INTERSECT SELECT * FROM load_come)
+        UNION ALL SELECT *, 'deleted' FROM (SELECT * FROM load_gone EXCEPT SELECT * FROM load_come)
+        UNION ALL SELECT *, 'inserted' FROM (SELECT * FROM load_come EXCEPT SELECT * FROM load_gone)""",
     "co_sov_lines": "SELECT project_id, co_number, sov_line_id FROM change_order_sov_lines",
     "co_impact_by_sov_line": f"""SELECT s.project_id, s.sov_line_id, s.description, count(*) AS co_count,
         {d('sum(amount)')} AS co_amount
