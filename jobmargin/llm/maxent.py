@@ -81,9 +81,23 @@ def word_class(word: bytes, single: dict[bytes, int]) -> int:
     return own if own is not None else SINGLE + 1 + zlib.crc32(word[-SUFFIX:]) % (CLASSES - SINGLE - 1)
 
 
+def head_of(counts: DataFrame) -> DataFrame:
+    """The most frequent words, at most HEAD: those above the count at which there would be more.
+
+    Found from how many words have each count, which are few rows: d different counts take d * d / 2 tokens.
+    """
+    above, least = 0, 0
+    for row in counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).toLocalIterator():
+        above += row.n
+        if above > HEAD:
+            least = row.c
+            break
+    return counts.where(F.col("c") > least)
+
+
 def learn_vocabulary(counts: DataFrame) -> Vocabulary:
-    """From stored counts (word, c): at most HEAD rows, one row a class and the two sums reach the driver."""
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
+    """From stored counts (word, c): at most HEAD rows, how many words have each count, one row a class and the two sums reach the driver."""
+    head = head_of(counts).toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
     words = [bytes(w) for w in head["word"]]
     single = {w: k + 1 for k, w in enumerate([w for w in words if w != END][:SINGLE])}
 

@@ -52,3 +52,11 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     rows = maxent.op10_maxent_scores(spark, "/root/testdata/sf0.01").where("held_out").collect()
     gain = sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows)
     assert gain > 0.02
+
+
+def test_head_takes_whole_counts(spark, monkeypatch):
+    rows = [(f"w{k}".encode(), c) for k, c in enumerate([9, 7, 7, 3, 3, 3, 1, 1])]
+    counts = spark.createDataFrame(rows, "word binary, c long")
+    for head, expected in ((8, 8), (7, 6), (6, 6), (5, 3), (2, 1), (0, 0)):
+        monkeypatch.setattr(maxent, "HEAD", head)
+        assert maxent.head_of(counts).count() == expected
