@@ -486,6 +486,7 @@ QUERIES: dict[str, Query] = {
     "leak_lines": over_tables(leaks.leak_lines),
     "leak_archetypes": over_tables(leaks.leak_archetypes),
     "cross_project_pattern": over_tables(leaks.cross_project_pattern),
+    "co_leaking_work": over_tables(leaks.co_leaking_work),
     # streams
     "stream_labor_week": stream_labor_week,
     "stream_overrun_alerts": stream_overrun_alerts,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from jobmargin.functions import measures as m
 from jobmargin.functions.medians import median_of_large_groups
 from jobmargin.plans import earned_value as ev
+from jobmargin.plans import ledger
 from jobmargin.session import materialise
 
 Tables = Mapping[str, DataFrame]
@@ -184,3 +185,34 @@ def leak_archetypes(tables: Tables, rule: LeakRule = LeakRule()) -> DataFrame:
     )
     medians = median_of_large_groups(lines, "archetype", "labor_bm_cost_norm", "median_early_bm")
     return totals.join(medians, "archetype", "left")
+
+
+def frequent_sets(rows: DataFrame, holder: str, item: str, least: int, largest: int) -> DataFrame:
+    """(items, size, holders): sets of 2 to `largest` items that `least` holders have together (eager).
+
+    Level by level: a set is counted only for holders of two frequent sets that differ in their last
+    item, so what no longer occurs often enough is never extended.  Counts are summed map-side; a
+    holder's sets meet by (holder, all items but the last).  Nulls take no part.
+    """
+    single = rows.select(F.col(holder).alias("holder"), F.col(item).alias("last")).dropna().distinct()
+    level = single.withColumn("lead", F.array().cast("array<string>"))
+    found = []
+    for size in range(1, largest + 1):
+        frequent = level.groupBy("lead", "last").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") >= least)
+        frequent = materialise(frequent, "frequent-sets")
+        if size > 1:
+            items = F.array_join(F.array_append("lead", F.col("last")), " + ")
+            found.append(frequent.select(items.alias("items"), F.lit(size).cast("bigint").alias("size"), "holders"))
+        if size == largest or frequent.isEmpty():
+            break
+        kept = materialise(level.join(frequent.select("lead", "last"), ["lead", "last"], "left_semi"), "holders-of-sets")
+        other = kept.select("holder", "lead", F.col("last").alias("next"))
+        level = kept.join(other, ["holder", "lead"]).where(F.col("last") < F.col("next")).select(
+            "holder", F.array_append("lead", F.col("last")).alias("lead"), F.col("next").alias("last"))
+    return ledger.stack(found) if found else single.sparkSession.createDataFrame([], "items string, size bigint, holders bigint")
+
+
+def co_leaking_work(tables: Tables, least: int = LeakRule.recurring_projects, largest: int = 3) -> DataFrame:
+    """Kinds of work whose labor leaks together in several projects: items in order, size and projects (eager)."""
+    lines = _with_sov_description(tables, _measured_lines(tables)).where(F.col("var_labor_scaled") > 0)
+    return frequent_sets(lines, "project_id", "sov_description", least, largest).withColumnRenamed("holders", "projects")

@@ -248,6 +248,7 @@ HELPERS: dict[str, str] = {
     "measured": """SELECT v.*, s.description AS sov_description, labor_cost_ratio / (labor_scale + 1e-9) AS labor_overrun_norm,
         early_burn / (labor_scale + 1e-9) AS labor_bm_cost_norm
         FROM variances v LEFT JOIN sov s ON v.sov_line_id = s.sov_line_id""",
+    "leaking_work": "SELECT DISTINCT project_id, sov_description AS work FROM measured WHERE var_labor_scaled > 0 AND sov_description IS NOT NULL",
     "recurring": """SELECT sov_description, count(DISTINCT project_id) AS leaking_projects, count(*) AS leaking_lines
         FROM measured WHERE var_labor_scaled > 0 GROUP BY 1 HAVING count(DISTINCT project_id) >= 3""",
     "classified": f"""SELECT m.*, CASE
@@ -669,6 +670,11 @@ BODIES: dict[str, str] = {
         {r(d('sum(CAST(var_total_scaled AS DECIMAL(28,10)))'))} AS total_var_scaled,
         {r('median(labor_bm_cost_norm)')} AS median_early_bm FROM classified GROUP BY 1""",
     "cross_project_pattern": """SELECT sov_description AS description, leaking_projects, leaking_lines FROM recurring""",
+    "co_leaking_work": """SELECT a.work || ' + ' || b.work AS items, CAST(2 AS BIGINT) AS size, count(*) AS projects
+        FROM leaking_work a JOIN leaking_work b ON b.project_id = a.project_id AND a.work < b.work GROUP BY 1 HAVING count(*) >= 3
+        UNION ALL SELECT a.work || ' + ' || b.work || ' + ' || c.work, CAST(3 AS BIGINT), count(*)
+        FROM leaking_work a JOIN leaking_work b ON b.project_id = a.project_id AND a.work < b.work
+        JOIN leaking_work c ON c.project_id = a.project_id AND b.work < c.work GROUP BY 1 HAVING count(*) >= 3""",
     "stream_labor_week": f"SELECT {fact_columns(FACT[:3], WEEKLY[:4])} FROM labor_w_uncut",
     "stream_overrun_alerts": f"""SELECT project_id, {d('labor')} AS actual_labor_cost,
         {d('coalesce(b_labor, 0)')} AS budget_labor_cost, {d('labor - coalesce(b_labor, 0)')} AS overrun
