@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobmargin.llm import words
-from jobmargin.llm.common import query, stored, table, whole_text
+from jobmargin.llm.common import query, settle, stored, table, whole_text
 
 CAPACITY = 1024
 END = 2  # id after each document
@@ -174,6 +174,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
             if with_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(whole)), pa.int32()), pa.array(whole.view(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:5 + with_ids])
+            del ids, whole, rows, columns
+            settle()
 
     texts = docs.select("doc_id", whole_text().alias("text"))
     return texts.mapInArrow(encode, f"doc_id {kind}, {PIECE}" + ", ids array<int>" * with_ids)

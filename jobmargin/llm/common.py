@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 
@@ -48,6 +49,17 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
+def settle() -> None:
+    """Give the memory of finished batches back to the machine: Python workers live on from stage to stage."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):   # another C library
+        pass
+
+
 def query(function):
     """A registered query: f(spark, folder) with this package importable on the workers."""
     @functools.wraps(function)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobmargin.llm.common import fold, stored, whole_text
+from jobmargin.llm.common import fold, settle, stored, whole_text
 
 FOLDS, HELD = 3, 1
 
@@ -48,7 +48,9 @@ def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], name: str
     """The rows of `docs` with a double column `name` in place of one of that name; other columns stay in the JVM."""
     @F.pandas_udf("double")
     def apply(texts: pd.Series) -> pd.Series:
-        return pd.Series(score(list(texts)))
+        found = pd.Series(score(list(texts)))
+        settle()
+        return found
 
     return docs.withColumn(name, apply(whole_text()))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from jobmargin.llm import spans
 
-MEMO_WORDS = 400_000   # words remembered by each Python worker, some 70 MB; others are encoded in each slice that has them
+MEMO_WORDS = 200_000   # words remembered by each Python worker, some 35 MB; others are encoded in each slice that has them
 LONGEST = 48           # longer words are not worth remembering
 SLICE = 2 << 20        # bytes of texts encoded at a time
 TOGETHER = 1024        # missed words handed to the tokenizer at a time
