@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobmargin.llm import spans
-from jobmargin.llm.common import query, stored, table, whole_text
+from jobmargin.llm.common import query, settle, stored, table, whole_text
 from jobmargin.llm.hat_trie import HatTrie, sorted_run
 
 LEAST, LONGEST, TOP = 100, 5, 2000   # occurrences of a candidate; its words; phrases reported a language
 BURST = 1 << 14        # entries of a container that bursts
-HELD = 300_000         # entries of tries a task holds before it spills subtrees
-HASHES = 1 << 21       # counted hashes a task holds before it passes them on
+HELD = 200_000         # entries of tries a task holds before it spills subtrees
+SLICE = 4 << 20        # bytes of texts worked on at a time
+HASHES = 1 << 20       # counted hashes a task holds before it passes them on
 KNOWN = 1_000_000      # words a task numbers before it spills everything and starts anew
 BITS = 1 << 26         # of a filter: 8 MB at any size of the corpus
 LEVELS = 3             # words of the longest phrases that have a filter
@@ -60,9 +61,13 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 # --- counting inside tasks ---------------------------------------------------------------
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
-    langs = batch.column("lang").dictionary_encode()
-    for code, lang in enumerate(langs.dictionary.to_pylist()):
-        yield lang, batch.column("text").filter(pc.equal(langs.indices, code))
+    """The texts of each language, some SLICE bytes at a time."""
+    step = max(1, batch.num_rows * SLICE // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, step):
+        own = batch.slice(at, step)
+        langs = own.column("lang").dictionary_encode()
+        for code, lang in enumerate(langs.dictionary.to_pylist()):
+            yield lang, own.column("text").filter(pc.equal(langs.indices, code))
 
 
 class _Text:
@@ -134,6 +139,7 @@ def _count_hashes(batches: Iterator[pa.RecordBatch], filters: list) -> Iterator[
             if size > HASHES // 2:
                 yield from run(*held.pop())
                 size = 0
+            settle()
     if held:
         yield from run(*merged())
 
@@ -206,6 +212,7 @@ def _count_phrases(batches: Iterator[pa.RecordBatch], filters: list, longest: in
         if len(numbers.ids) > KNOWN or sum(t.entries for t in tries.values()) > held:
             yield from spill_all()
             numbers = _Numbers()
+        settle()
     yield from spill_all()
     for lang, n in totals.items():
         yield _run(lang, pa.array([WHOLE], pa.large_binary()), pa.array([n], pa.int64()))
