@@ -37,11 +37,15 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, names: Iterable[s
         write_table(tables[name], f"{folder.rstrip('/')}/{name}", fmt, cluster, **options)
 
 
-def write_csv_table(df: DataFrame, path: str) -> None:
-    """Write CSV in the form the typed reader expects: header, doubled quotes, empty for NULL."""
-    df.write.mode("overwrite").csv(
+def write_csv_table(df: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Write CSV in the form the typed reader expects: header, doubled quotes, empty for NULL.
+
+    Text of numbers and repeated keys is several times larger than the rows it holds, so files are compressed
+    by default; a file is read in one task, and there are as many as partitions.
+    """
+    df.write.mode("overwrite").option("zlib.compress.level", "BEST_SPEED").csv(
         path, header=True, quote='"', escape='"', nullValue="", emptyValue="",
-        dateFormat="yyyy-MM-dd",
+        dateFormat="yyyy-MM-dd", compression=compression,
     )
 
 
