@@ -33,7 +33,8 @@ def delete_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: those with 0.8 or more of their five-word shingles in common, and what these join."""
+    """One document of each group of near-duplicates: texts that op5's SimHash operator proposes, or a band beyond its bits, with 0.8 or
+    more of their five-word shingles in common, and what these join."""
     importable(spark)
     return shingles.keep_one(docs)
 

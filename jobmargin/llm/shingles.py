@@ -1,4 +1,4 @@
-"""Near copies of texts by the similarity of their word shingles, for the stage of the pipeline."""
+"""Near copies of texts by SimHash fingerprints and by the similarity of their word shingles, for the stage of the pipeline."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobmargin.llm.common import settle, stored, whole_text
 from jobmargin.llm.components import components
+from jobmargin.llm.simhash import near_duplicates
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4      # fingerprints of a text, and the minima each is made of: at 0.8 a pair shares none in 3 of a million cases
@@ -78,7 +79,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, similar: floa
     """Of the pairs (a, b) of nodes, those whose shingle sets are `similar`; texts: a text's key for each node (eager)."""
     @F.pandas_udf("binary")
     def packed(column: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t).tobytes() for t in column])
+        out = pd.Series([shingle_set(t).tobytes() for t in column])
+        settle()
+        return out
 
     @F.pandas_udf("double")
     def compared(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -92,22 +95,37 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, similar: floa
     return stored(both.where(compared("own_a", "own_b") >= similar).select("a", "b"), "shingle-links")
 
 
+def _fingerprint_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """(a, b): each node of a group that op5's operator finds, with the least node of it (eager)."""
+    found = near_duplicates(docs).select("key", F.col("root").alias("print")).distinct()
+    placed = stored(marked.select("key", "node").distinct().join(found, "key").select("node", "print").distinct(), "simhash-groups")
+    least = placed.groupBy("print").agg(F.min("node").alias("a"))
+    return placed.join(least, "print").where("node <> a").select("a", F.col("node").alias("b"))
+
+
 def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, key, root for each row: the group that it reaches by texts whose shingle sets have that Jaccard similarity (eager).
 
-    Equal sets are one node.  Nodes that share a band are candidates, and each link is verified on
-    the whole sets.  First the nodes of a band are compared with the least of them, so a
-    set of near copies, however many, costs a comparison a row; what a band then still holds in
-    several groups is compared pair by pair.  Texts without words are one group.
+    Equal sets are one node.  op5's SimHash operator proposes first: each node of one of its groups is compared
+    with the least of it.  Such texts can still differ in more bits than op5 allows, so nodes that share a
+    band and are not joined yet are candidates too.  Each link is verified on the whole sets.  First the
+    nodes of a band are compared with the least of them, so a set of near copies, however many, costs a
+    comparison a row; what a band then still holds in several groups is compared pair by pair.
+    Texts without words are one group.
     """
     marked = stored(marked_texts(docs), "shingle-marks")
     texts = marked.groupBy("node").agg(F.min("key").alias("key"))
+    near = _verified(_fingerprint_links(docs, marked), docs, texts, similar)
+    prints = components(near)
     nodes = marked.groupBy("node").agg(F.first("bands").alias("bands"))
     entries = nodes.select("node", F.posexplode("bands").alias("band", "mark"))
     least = entries.groupBy("band", "mark").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = stored(entries.join(least, ["band", "mark"]), "shingle-bands")
     stars = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(stars, docs, texts, similar)
+    for end in ("a", "b"):
+        stars = stars.join(prints.toDF(end, f"root_{end}"), end, "left")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    links = near.union(_verified(stars.where(apart).select("a", "b"), docs, texts, similar))
 
     roots = components(links)
     placed = shared.select("band", "mark", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

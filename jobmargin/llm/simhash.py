@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmargin.llm.common import query, stored, table, whole_text
+from jobmargin.llm.common import query, settle, stored, table, whole_text
 from jobmargin.llm.components import components, spanning
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -39,7 +39,9 @@ def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, key (hash of the text) and fp, the fingerprint as a signed long; null text counts as empty."""
     @F.pandas_udf("long")
     def mark(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+        prints = pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+        settle()
+        return prints
 
     return docs.select("doc_id", F.xxhash64(whole_text()).alias("key"), mark(whole_text()).alias("fp"))
 

@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline as pipeline
-from jobmargin.llm import shingles
+from jobmargin.llm import shingles, simhash
 from test_simhash import reach
 
 
@@ -80,3 +80,24 @@ def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     kept = pipeline.drop_near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns and kept.count() == 0
+
+
+def test_fingerprints_propose_and_sets_decide(spark, monkeypatch):
+    """The stage's links begin with op5's operator; repeats weigh in its fingerprints and not in sets, so some proposals fail."""
+    refrain = "one two three four five " * 300
+    tail = lambda k: " ".join(f"t{k}.{i}" for i in range(12))
+    other = " ".join(f"w{i}" for i in range(2000))
+    texts = [refrain + tail(1), refrain + tail(2), other, other + " end", None]
+    marks = [simhash.fingerprint(t or "") for t in texts]
+    assert (marks[0] ^ marks[1]).bit_count() <= simhash.BITS and (marks[2] ^ marks[3]).bit_count() <= simhash.BITS
+    rows = [*enumerate(texts), (1, texts[1]), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marked = shingles.marked_texts(docs)
+    node = {r.doc_id: r.node for r in marked.collect() if r.doc_id is not None}
+    proposed = {frozenset((r.a, r.b)) for r in shingles._fingerprint_links(docs, marked).collect()}
+    assert proposed == {frozenset((node[0], node[1])), frozenset((node[2], node[3]))}
+    calls = []
+    operator = shingles.near_duplicates
+    monkeypatch.setattr(shingles, "near_duplicates", lambda *args: calls.append(args) or operator(*args))
+    assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 1, 2, 4]
+    assert len(calls) == 1
