@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from jobmargin.functions import measures as m
 from jobmargin.functions.dates import week_end_sunday
 from jobmargin.plans import ledger
+from jobmargin.session import parts_by_input
 
 Tables = Mapping[str, DataFrame]
 
@@ -28,6 +29,7 @@ EPS = 1e-9
 MIN_PCT = 5
 PERCENT = Decimal("0.01")
 PARTS = 4              # partitions by project for each of spark.sql.shuffle.partitions: rows widen manyfold after the shuffle
+SHARE = 2 << 20        # bytes of labor input for each partition at most
 
 LABOR_WEEKLY = ("labor_hours_w", "labor_cost_w", "st_hours_w", "ot_hours_w")
 MATERIAL_WEEKLY = ("material_cost_w", "material_qty_w")
@@ -73,10 +75,10 @@ def _daily(entries: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return entries.groupBy(*LINE, "date").agg(*[F.sum(c).alias(c) for c in columns])
 
 
-def _by_project(rows: DataFrame) -> DataFrame:
-    """Rows dealt by project, in parts small enough that sorts and windows keep to memory."""
+def _by_project(tables: Tables, rows: DataFrame) -> DataFrame:
+    """Rows dealt by project, in parts small enough that sorts and windows keep to memory however large the input."""
     parts = PARTS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "project_id")
+    return rows.repartition(max(parts, parts_by_input(tables["labor_logs"], SHARE)), "project_id")
 
 
 def _until_closeout(tables: Tables, daily: DataFrame) -> DataFrame:
@@ -86,7 +88,7 @@ def _until_closeout(tables: Tables, daily: DataFrame) -> DataFrame:
     running maximum carries it to the project's dated rows.  A project has at most
     (lines x days) of these, however many entries are behind them.
     """
-    stacked = _by_project(ledger.stack([daily, last_period_end(tables)]))
+    stacked = _by_project(tables, ledger.stack([daily, last_period_end(tables)]))
     by_date = (
         Window.partitionBy("project_id").orderBy(F.col("date").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -171,7 +173,7 @@ def _active_weeks(tables: Tables, *per_line: DataFrame) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     applied = F.when(F.col("weeks").isNotNull(), F.struct("application_number", "weeks"))
-    rows = _by_project(ledger.stack(frames)).withColumns({
+    rows = _by_project(tables, ledger.stack(frames)).withColumns({
         "last_period_end": F.max("last_period_end").over(along), "applied": F.last(applied, ignorenulls=True).over(along)})
     same = F.col("project_id").isNotNull() & (F.col("applied.application_number") == F.col("application_number"))
     own = F.when(same, F.col("applied.weeks"))

@@ -64,6 +64,16 @@ def delete_path(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def parts_by_input(df: DataFrame, share: int) -> int:
+    """Partitions of `share` bytes each for the files that a frame reads; 0 where it reads none.
+
+    For exchanges whose rows widen afterwards: Spark sizes partitions by what it shuffles, compressed.
+    """
+    hadoop = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    names = map(df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path, df.inputFiles())
+    return -(-sum(path.getFileSystem(hadoop).getFileStatus(path).getLen() for path in names) // share)
+
+
 def send_package(spark: SparkSession) -> None:
     """Let Python workers import this package wherever the driver was started."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

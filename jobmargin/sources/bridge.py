@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobmargin.functions.text import shortened
+from jobmargin.session import parts_by_input
 from jobmargin.sources.junction import co_sov_lines
 
 # Texts the views assign by position.
@@ -37,6 +38,8 @@ APPROVALS = ("verbal", "written", "none", "undocumented")
 NOTE_TYPES = ("Daily Report", "Safety Log", "Coordination Note", "Issue Log")
 BILLING_STATUSES = ("Pending", "Approved", "Paid")
 
+SHARE = 1 << 20        # bytes of line items and orders for each partition of the billing windows
+
 
 def _pick(values: tuple[str, ...], position: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (position + 1).cast("int"))
@@ -251,13 +254,16 @@ def _monthly_billing(t: BridgeTables) -> DataFrame:
         .otherwise(F.lit("1.00")).cast("decimal(3,2)")
     )
     value = _dollars(F.col("cents"))
+    joined = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # Months of all lines widen manyfold in the windows, so their partitions follow the input and not what is shuffled.
+    parts = parts_by_input(joined, SHARE)
     return (
-        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("l_suppkey", "l_linenumber", "month")
+        joined.groupBy("l_suppkey", "l_linenumber", "month")
         .agg(F.sum(_cents("l_extendedprice")).alias("cents"))
         # A month counts where something was billed.  As every use of the table keeps the
         # sum for this test, their exchanges are equal and Spark runs the join once.
         .where(F.col("cents").isNotNull())
+        .repartition(*[parts] * (parts > 0), "l_suppkey")
         .select(
             "l_suppkey", "l_linenumber", "month", value.alias("value"),
             (value * factor).cast("decimal(24,2)").alias("this_period"),
