@@ -25,6 +25,7 @@ ROUNDS = 2               # parts of the training texts; weights are averaged aft
 STEP, CHUNK = 0.4, 4096  # tokens in a gradient step
 BLOCK_ROWS = 128         # rows of weights sent as one record
 FLUSH = 300_000          # distinct words counted in a task before they are sent on
+TOGETHER = 1 << 18       # characters of texts read at a time
 END = b""
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -124,8 +125,12 @@ class Reader:
         self.classes = np.array([word_class(w, self.single) for w in vocabulary.words], np.int64)
         self.hashes = np.array([zlib.crc32(w) for w in vocabulary.words], np.uint64)
 
-    def read(self, text: str):
-        words = tokens(text)
+    def read(self, texts: list[str]):
+        """All tokens of the texts in a row and where each text ends among them; many short texts cost little more than a long one."""
+        words, ends = [], []
+        for text in texts:
+            words += tokens(text)
+            ends.append(len(words))
         at = np.array(list(map(self.place.get, words, repeat(-1))), np.int64)
         rare = np.flatnonzero(at < 0)
         if len(self.classes):
@@ -135,16 +140,19 @@ class Reader:
         others = [words[i] for i in rare.tolist()]
         classes[rare] = [word_class(w, self.single) for w in others]
         hashes[rare] = np.array(list(map(zlib.crc32, others)), np.uint64)
-        return words, at, rare, classes, contexts(hashes)
+        return words, np.array(ends, np.int64), at, rare, classes, contexts(hashes, ends)
 
 
-def contexts(hashes: np.ndarray) -> np.ndarray:
-    """Buckets of four features a token: the word before, the two before, the second and the third before."""
-    before = np.concatenate([np.full(3, 1 << 40, np.uint64), hashes])[:-1]
-    one, two, three = before[2:], before[1:-1], before[:-2]
+def contexts(hashes: np.ndarray, ends: list[int] | None = None) -> np.ndarray:
+    """Buckets of four features a token: the word before, the two before, the second and the third before, within its text."""
+    sizes = np.diff(ends if ends is not None else [len(hashes)], prepend=0)
+    place = np.arange(len(hashes)) + np.repeat(3 * np.arange(1, len(sizes) + 1), sizes)
+    padded = np.full(len(hashes) + 3 * len(sizes), 1 << 40, np.uint64)
+    padded[place] = hashes
+    one, two, three = padded[place - 1], padded[place - 2], padded[place - 3]
     mix, by = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - ROWS.bit_length() + 1)
     keys = ((one + np.uint64(1 << 41)) * mix, (one * np.uint64(0x100000001B3) ^ two) * mix, (two + np.uint64(1 << 42)) * mix, (three + np.uint64(1 << 43)) * mix)
-    return np.stack([key >> by for key in keys], 1).astype(np.int64)
+    return np.stack([key >> by for key in keys]).astype(np.int64).T
 
 
 def class_log_odds(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -154,6 +162,12 @@ def class_log_odds(weights: np.ndarray, bias: np.ndarray, features: np.ndarray)
     return z
 
 
+def own_log_odds(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The log probability of each token's own class."""
+    z = _scores(weights, bias, features)
+    return z[np.arange(len(z)), classes] - np.log(np.exp(z).sum(1))
+
+
 def _scores(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
     """Sums of the features' rows, the greatest of each token at zero."""
     z = weights[features[:, 0]] + bias
@@ -168,11 +182,15 @@ def descend(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, bias, fe
     error = np.exp(_scores(weights, bias, features))
     error /= error.sum(1, keepdims=True)
     error[np.arange(len(classes)), classes] -= 1
-    n = np.bincount(features.ravel(), minlength=ROWS)
+    flat = features.T.ravel()
+    n = np.bincount(flat, minlength=ROWS)
     rows = np.flatnonzero(n)
-    at = (np.cumsum(n > 0) - 1)[features.T.ravel()]
-    by_class = np.ascontiguousarray(error.T, np.float64)
-    slope = np.stack([np.bincount(at, np.tile(own, features.shape[1]), len(rows)) for own in by_class], 1).astype(np.float32)
+    at = (np.cumsum(n > 0) - 1)[flat]
+    each, sums = np.empty((features.shape[1], len(classes))), []
+    for own in np.ascontiguousarray(error.T, np.float64):
+        each[:] = own
+        sums.append(np.bincount(at, each.ravel(), len(rows)))
+    slope = np.ascontiguousarray(np.array(sums, np.float32).T)
     of_rows = squares[rows] + slope * slope
     squares[rows] = of_rows
     slope *= np.float32(STEP)
@@ -223,11 +241,24 @@ def train(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     return weights
 
 
+def _together(texts: Iterator[str]) -> Iterator[list[str]]:
+    """The texts in order, some TOGETHER characters at a time."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text)
+        n += len(text)
+        if n >= TOGETHER:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def _chunks(reader: Reader, texts: Iterator[str]):
     """Features and classes of CHUNK tokens at a time, through the texts."""
     held, n = [], 0
-    for text in texts:
-        _, _, _, classes, features = reader.read(text)
+    for some in _together(texts):
+        _, _, _, _, classes, features = reader.read(some)
         held.append((features, classes))
         n += len(classes)
         if n >= CHUNK:
@@ -251,25 +282,27 @@ def _score_rows(sent, weights_sent):
         in_class = np.log10(vocabulary.counts + 0.5) - np.log10(np.maximum(vocabulary.sums, 1e-9))[reader.classes] + _not_unknown(vocabulary)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            docs, rare_rows = [], []
-            for doc_id, held, text in zip(batch["doc_id"], batch["held_out"], batch["text"]):
-                words, at, rare, classes, features = reader.read(text)
+            totals = []
+            for texts in _together(batch["text"]):
+                words, ends, at, rare, classes, features = reader.read(texts)
                 own = np.empty(len(words))
                 for k in range(0, len(words), CHUNK):
                     part = slice(k, k + CHUNK)
-                    odds = class_log_odds(weights, bias, features[part])
-                    own[part] = odds[np.arange(len(odds)), classes[part]] / np.log(10)
+                    own[part] = own_log_odds(weights, bias, features[part], classes[part]) / np.log(10)
                 head = at >= 0
-                docs.append((row, doc_id, held, len(words), int(head.sum()), known[at[head]].sum(), own[head].sum() + in_class[at[head]].sum()))
-                rare_rows += [(row, words[i], int(classes[i]), own[i]) for i in rare]
-                row += 1
-            out = pd.DataFrame(docs, columns=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                of_head, upto = at[head], np.append(0, np.append(0, np.cumsum(head))[ends])
+                base, odds, inside = known[of_head], own[head], in_class[of_head]
+                for n, a, b in zip(np.diff(ends, prepend=0).tolist(), upto.tolist(), upto[1:].tolist()):
+                    totals.append((n, b - a, base[a:b].sum(), odds[a:b].sum() + inside[a:b].sum()))
+                if len(rare):
+                    out = pd.DataFrame({"row": row + np.searchsorted(ends, rare, "right"), "word": [words[i] for i in rare.tolist()], "cls": classes[rare], "score": own[rare]})
+                    out["doc_id"], out["held_out"], out["n_tokens"], out["n_known"], out["base_score"] = None, None, 0, 0, 0.0
+                    yield out
+                row += len(texts)
+            out = pd.DataFrame(totals, columns=["n_tokens", "n_known", "base_score", "score"])
+            out["row"], out["doc_id"], out["held_out"] = np.arange(row - len(batch), row), batch["doc_id"].to_numpy(), batch["held_out"].to_numpy()
             out["word"], out["cls"] = None, 0
-            yield out.astype({"doc_id": batch["doc_id"].dtype}) if batch["doc_id"].notna().all() else out
-            if rare_rows:
-                out = pd.DataFrame(rare_rows, columns=["row", "word", "cls", "score"])
-                out["doc_id"], out["held_out"], out["n_tokens"], out["n_known"], out["base_score"] = None, None, 0, 0, 0.0
-                yield out
+            yield out
 
     return score
 

@@ -60,3 +60,20 @@ def test_head_takes_whole_counts(spark, monkeypatch):
     for head, expected in ((8, 8), (7, 6), (6, 6), (5, 3), (2, 1), (0, 0)):
         monkeypatch.setattr(maxent, "HEAD", head)
         assert maxent.head_of(counts).count() == expected
+
+
+def test_texts_read_together_are_read_as_one_by_one():
+    words = [b"", *(f"w{i}".encode() for i in range(40))]
+    vocabulary = maxent.Vocabulary(words, np.ones(len(words), np.int64), {w: k + 1 for k, w in enumerate(words[1:32])}, 41, 41, np.ones(maxent.CLASSES))
+    reader = maxent.Reader(vocabulary)
+    texts = ["", "w1 W2 w3 w4 other", "w5", "", "other w6 w7 another w8 w9"]
+    alone = [reader.read([t]) for t in texts]
+    own_words, ends, at, rare, classes, features = reader.read(texts)
+    assert own_words == [w for one in alone for w in one[0]] and ends.tolist() == np.cumsum([len(one[0]) for one in alone]).tolist()
+    assert [own_words[i] for i in rare] == [one[0][i] for one in alone for i in one[3]]
+    for own, k in ((at, 2), (classes, 4), (features, 5)):
+        assert np.array_equal(own, np.concatenate([one[k] for one in alone]))
+    weights = np.random.default_rng(1).normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
+    bias = np.zeros(maxent.CLASSES, np.float32)
+    odds = maxent.class_log_odds(weights, bias, features)[np.arange(len(classes)), classes]
+    assert np.array_equal(maxent.own_log_odds(weights, bias, features, classes), odds)
