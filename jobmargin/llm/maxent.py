@@ -138,7 +138,9 @@ class Reader:
         else:
             classes, hashes = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint64)
         others = [words[i] for i in rare.tolist()]
-        classes[rare] = [word_class(w, self.single) for w in others]
+        classes[rare] = SINGLE + 1 + np.array([zlib.crc32(w[-SUFFIX:]) for w in others], np.int64) % (CLASSES - SINGLE - 1)   # none of them has a class of its own
+        if END not in self.place:
+            classes[[i for i, w in zip(rare.tolist(), others) if w == END]] = 0
         hashes[rare] = np.array(list(map(zlib.crc32, others)), np.uint64)
         return words, np.array(ends, np.int64), at, rare, classes, contexts(hashes, ends)
 
@@ -165,21 +167,24 @@ def class_log_odds(weights: np.ndarray, bias: np.ndarray, features: np.ndarray)
 def own_log_odds(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """The log probability of each token's own class."""
     z = _scores(weights, bias, features)
-    return z[np.arange(len(z)), classes] - np.log(np.exp(z).sum(1))
+    own = z[np.arange(len(z)), classes]
+    return own - np.log(np.exp(z, out=z).sum(1))
 
 
 def _scores(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
     """Sums of the features' rows, the greatest of each token at zero."""
-    z = weights[features[:, 0]] + bias
+    z = weights.take(features[:, 0], 0)
+    z += bias
     for k in range(1, features.shape[1]):
-        z += weights[features[:, k]]
+        z += weights.take(features[:, k], 0)
     z -= z.max(1, keepdims=True)
     return z
 
 
 def descend(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, bias, features: np.ndarray, classes: np.ndarray) -> None:
     """One adaptive gradient step on the log probability of the classes of some tokens, in place."""
-    error = np.exp(_scores(weights, bias, features))
+    error = _scores(weights, bias, features)
+    np.exp(error, out=error)
     error /= error.sum(1, keepdims=True)
     error[np.arange(len(classes)), classes] -= 1
     flat = features.T.ravel()
@@ -191,11 +196,12 @@ def descend(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, bias, fe
         each[:] = own
         sums.append(np.bincount(at, each.ravel(), len(rows)))
     slope = np.ascontiguousarray(np.array(sums, np.float32).T)
-    of_rows = squares[rows] + slope * slope
+    of_rows = squares.take(rows, 0)
+    of_rows += slope * slope
     squares[rows] = of_rows
     slope *= np.float32(STEP)
-    slope /= np.sqrt(of_rows)
-    weights[rows] -= slope
+    slope /= np.sqrt(of_rows, out=of_rows)
+    weights[rows] = weights.take(rows, 0) - slope
     seen[rows] += n[rows]
 
 

@@ -77,3 +77,12 @@ def test_texts_read_together_are_read_as_one_by_one():
     bias = np.zeros(maxent.CLASSES, np.float32)
     odds = maxent.class_log_odds(weights, bias, features)[np.arange(len(classes)), classes]
     assert np.array_equal(maxent.own_log_odds(weights, bias, features, classes), odds)
+
+
+def test_classes_of_words_outside_the_head():
+    words = [f"w{i}".encode() for i in range(40)]
+    single = {w: k + 1 for k, w in enumerate(words[:maxent.SINGLE])}
+    vocabulary = maxent.Vocabulary(words, np.ones(40, np.int64), single, 41, 41, np.ones(maxent.CLASSES))
+    own_words, _, _, rare, classes, _ = maxent.Reader(vocabulary).read(["w1 other w39 é", ""])
+    assert [own_words[i] for i in rare] == [b"other", "é".encode(), b"", b""]      # the end itself is outside this head
+    assert classes.tolist() == [maxent.word_class(w, single) for w in own_words]
