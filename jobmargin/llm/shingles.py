@@ -88,8 +88,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, similar: floa
         return pd.Series([similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype=float)
 
     pairs = stored(pairs, "shingle-pairs")
-    used = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    whole = docs.select(F.xxhash64(whole_text()).alias("key"), whole_text().alias("text")).join(used, "key").dropDuplicates(["node"])
+    # Written, so that Spark knows their size: few of them go to the texts, and not all texts through a shuffle to them.
+    used = stored(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "shingle-texts")
+    # A node has one key here, so copies of a text are the only repeats, and meet where the join by key has brought them.
+    whole = docs.select(F.xxhash64(whole_text()).alias("key"), whole_text().alias("text")).join(used, "key").dropDuplicates(["key", "node"])
     sets = stored(whole.select("node", packed("text").alias("own")), "shingle-sets")
     both = pairs.join(sets.toDF("a", "own_a"), "a").join(sets.toDF("b", "own_b"), "b")
     return stored(both.where(compared("own_a", "own_b") >= similar).select("a", "b"), "shingle-links")
@@ -140,7 +142,9 @@ def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row of `docs` for each group of near copies, with its columns: the one with the least doc_id (nulls last; ties by text hash)."""
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc"), F.col("key").alias("key"))
-    chosen = groups(docs, similar).groupBy("root").agg(F.min(place).alias("row")).select(F.col("row.doc").alias("_doc"), F.col("row.key").alias("_key"))
-    keyed = docs.withColumn("_own", F.xxhash64(whole_text()))
-    same = keyed["doc_id"].eqNullSafe(chosen["_doc"]) & (F.col("_own") == F.col("_key"))
-    return keyed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    chosen = groups(docs, similar).groupBy("root").agg(F.min(place).alias("row")).select("row.*")
+    # Ids without nulls, so that texts are shuffled once, for the join and for repeated rows.
+    own, zero = ["_null", "_doc", "_key"], F.lit(0).cast(docs.schema["doc_id"].dataType)
+    numbered = lambda df, doc, key: df.withColumns({"_null": F.col(doc).isNull(), "_doc": F.coalesce(F.col(doc), zero), "_key": key})
+    chosen = numbered(chosen, "doc", F.col("key")).select(*own)
+    return numbered(docs, "doc_id", F.xxhash64(whole_text())).join(chosen, own, "left_semi").dropDuplicates(own).select(*docs.columns)

@@ -101,3 +101,29 @@ def test_fingerprints_propose_and_sets_decide(spark, monkeypatch):
     monkeypatch.setattr(shingles, "near_duplicates", lambda *args: calls.append(args) or operator(*args))
     assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 1, 2, 4]
     assert len(calls) == 1
+
+
+def shuffles(df):
+    """Exchanges by key in a frame's plan, before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """Texts go to the pairs, and rows to the chosen ones, in one exchange each; none where the pairs are few."""
+    rows = [*enumerate(edited()), (3, "one two"), (None, "lost"), (None, "lost"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = shingles.stored(docs, "texts-shuffled").inputFiles()
+    docs = spark.read.schema(docs.schema).parquet(*path)
+    plans, keep = {}, shingles.stored
+    monkeypatch.setattr(shingles, "stored", lambda df, purpose: plans.setdefault(purpose, []).append(shuffles(df)) or keep(df, purpose))
+    few = sorted(map(str, shingles.keep_one(docs).collect()))
+    assert plans["shingle-sets"] == [1] * 3
+    plans.clear()
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = shingles.keep_one(docs)
+        assert plans["shingle-sets"] == [2] * 3 and shuffles(kept.select("doc_id", "text")) <= 8
+        assert sorted(map(str, kept.collect())) == few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
