@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Iterator, Mapping
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,15 +80,10 @@ def parts_by_input(df: DataFrame, share: int) -> int:
 
 
 @contextmanager
-def written_step(spark: SparkSession, parts: int = 0, advisory: str | None = None) -> Iterator[None]:
-    """Settings for a step that is written before the next begins: its shuffle files are deleted when it ends.
-
-    Shuffles get `parts` partitions where the session's own number is less, as rows of a large input would
-    spill in few; AQE joins small ones, up to `advisory` bytes if given.  The session's settings are put back.
-    """
-    now = {PARTITIONS: str(max(parts, int(spark.conf.get(PARTITIONS)))), FREED: "true"} | ({ADVISORY: advisory} if advisory else {})
-    before = {key: spark.conf.get(key, None) for key in now}
-    for key, value in now.items():
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Session settings for what starts within; the session's own are put back."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
         spark.conf.set(key, value)
     try:
         yield
@@ -97,6 +92,16 @@ def written_step(spark: SparkSession, parts: int = 0, advisory: str | None = Non
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def written_step(spark: SparkSession, parts: int = 0, advisory: str | None = None) -> AbstractContextManager[None]:
+    """Settings for a step that is written before the next begins: its shuffle files are deleted when it ends.
+
+    Shuffles get `parts` partitions where the session's own number is less, as rows of a large input would
+    spill in few; AQE joins small ones, up to `advisory` bytes if given.
+    """
+    now = {PARTITIONS: str(max(parts, int(spark.conf.get(PARTITIONS)))), FREED: "true"} | ({ADVISORY: advisory} if advisory else {})
+    return settings(spark, now)
+
+
 def send_package(spark: SparkSession) -> None:
     """Let Python workers import this package wherever the driver was started."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobmargin.functions.text import tokens
+from jobmargin.session import PARTITIONS, parts_by_input, written_step
 
 BUCKETS = 64           # folders that tokens are hashed to
 SEGMENTS = 6           # leading bits of a block that make the folder of its notes
 BLOCK = 4096           # notes of a block, on average
+SHARE = 2 << 20        # bytes of notes for each partition of a shuffle at most
 COMMITS = "bits int, first int, n_notes bigint, columns string, generation int"
 POSTINGS = "token string, block bigint, notes array<string>, generation int, bucket int"
 
@@ -74,21 +76,31 @@ def indexed_notes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _write_generation(notes: DataFrame, path: str, generation: int, first: int, block: int) -> None:
-    """Postings are dealt by ranges of (bucket, token, block): a token in every note is spread over tasks and files like any other."""
+    """Notes are written by block, postings are made of the written notes: neither the work behind `notes` nor their texts are shuffled again for them.
+
+    Words are dealt once, by bucket and, in a large index, slices of its blocks: lists are made where they are written, in
+    few files, and a token in every note is spread over tasks and files.
+    """
     spark, n_notes = notes.sparkSession, notes.count()
     bits = max(0, ceil(log2(max(1, n_notes) / block)))
     place = F.shiftrightunsigned(F.xxhash64("note_id"), 64 - bits) if bits else F.lit(0).cast("bigint")
     keyed = notes.where(F.col("note_id").isNotNull()).withColumn("block", place)
-    lists = (
-        keyed.select("note_id", "block", F.explode(tokens("content")).alias("token"))
-        .groupBy("token", "block").agg(F.sort_array(F.collect_set("note_id")).alias("notes"))
-        .withColumn("bucket", _bucket(F.col("token")))
-        .repartitionByRange("bucket", "token", "block").sortWithinPartitions("bucket", "token", "block")
-    )
-    lists.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/generation={generation}")
     segment = F.shiftright("block", max(0, bits - SEGMENTS)).cast("int")
     stored = keyed.withColumn("segment", segment).repartitionByRange("block", "note_id").sortWithinPartitions("block", "note_id")
-    stored.write.mode("overwrite").partitionBy("segment").parquet(f"{path}/notes/generation={generation}")
+    with written_step(spark, parts_by_input(notes, SHARE)):
+        stored.write.mode("overwrite").partitionBy("segment").parquet(f"{path}/notes/generation={generation}")
+    places = T.StructType.fromDDL("note_id string, content string, block bigint")
+    written = spark.read.schema(places).parquet(f"{path}/notes/generation={generation}")
+    tasks = max(parts_by_input(written, SHARE), int(spark.conf.get(PARTITIONS)))
+    place = {"bucket": _bucket(F.col("token")), "slice": F.pmod("block", F.lit(-(-tasks // BUCKETS)))}
+    lists = (
+        written.select("note_id", "block", F.explode(tokens("content")).alias("token"))
+        .withColumns(place).repartition(tasks, *place)
+        .groupBy(*place, "token", "block").agg(F.sort_array(F.collect_set("note_id")).alias("notes"))
+        .sortWithinPartitions("bucket", "token", "block").drop("slice")
+    )
+    with written_step(spark):
+        lists.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/generation={generation}")
     row = spark.range(1).select(
         F.lit(bits).alias("bits"), F.lit(first).alias("first"), F.lit(n_notes).cast("bigint").alias("n_notes"),
         F.lit(notes.schema.json()).alias("columns"))

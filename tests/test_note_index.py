@@ -3,9 +3,11 @@
 import os
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from jobmargin.operators import notes
+from jobmargin.session import FREED
 from jobmargin.sources import note_index
 from tests.portfolio import portfolio
 
@@ -84,3 +86,25 @@ def test_empty_and_missing_values(spark, tmp_path):
     note_index.add_notes(spark.createDataFrame(rows, many_notes(spark, 0).schema), path)
     assert ids(note_index.search(spark, path, ["rain"])) == ["C"]
     assert ids(note_index.indexed_notes(spark, path)) == ["A", "B", "C"]
+
+
+def test_lists_are_made_of_the_written_notes_in_one_exchange(spark, tmp_path, monkeypatch):
+    """The work behind added notes is not done again for their postings, and words are not dealt a second time for the folders."""
+    plans, parquet = {}, DataFrameWriter.parquet
+
+    def seen(self, path, *args, **kwargs):
+        plans[path[len(str(tmp_path)):]] = self._df._jdf.queryExecution().executedPlan().toString()
+        assert spark.conf.get(FREED) == "true" or "/commits/" in path
+        parquet(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    path = str(tmp_path / "index")
+    note_index.write_note_index(many_notes(spark, 300), path, block=16)
+    note_index.add_notes(many_notes(spark, 200, 200), path, block=16)
+    note_index.compact(spark, path)
+    assert spark.conf.get(FREED) == "false"
+    for generation in range(3):
+        text = plans[f"/index/postings/generation={generation}"]
+        assert text.count("Exchange ") == 1 and "FileScan" in text and "ExistingRDD" not in text and "Join" not in text
+    counts = {r.token: r.n_notes for r in note_index.token_counts(spark, path).collect()}
+    assert counts["all"] == 400 and counts["rain"] == 200
