@@ -8,7 +8,10 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from jobmargin import catalog
 from jobmargin.operators.adhoc import select_sql
+from jobmargin.plans import earned_value as ev
+from jobmargin.session import FREED, PARTITIONS
 from jobmargin.sources import readers, writers
 from jobmargin.sources.bridge import bridge
 from jobmargin.sources.junction import co_impact_by_sov_line, co_sov_lines
@@ -125,3 +128,18 @@ def test_select_sees_all_tables_and_leaves_own_views(spark):
     assert found.first().n == tables["sov"].count()
     assert spark.table("sov").count() == 3 and not spark.catalog.tableExists("contracts")
     spark.catalog.dropTempView("sov")
+
+
+def test_facts_are_written_in_a_step_of_their_own(spark, monkeypatch):
+    """Shuffle files of the written fact are deleted before it is read back, and its shuffles follow the input."""
+    seen, write = [], writers.write_facts
+
+    def writing(facts, path):
+        seen.append(tuple(spark.conf.get(name) for name in (FREED, PARTITIONS)))
+        write(facts, path)
+
+    monkeypatch.setattr(writers, "write_facts", writing)
+    monkeypatch.setattr(ev, "SHARE", 4096)
+    rows = catalog.read_fact_week(spark, "/root/testdata/sf0.001").count()
+    assert rows > 0 and seen[0][0] == "true" and int(seen[0][1]) > 4
+    assert (spark.conf.get(FREED), spark.conf.get(PARTITIONS)) == ("false", "4")
